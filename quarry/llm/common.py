@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more.
+
+    They go only when the driver's JVM finds the plans dead; after a checkpoint that replaces a large
+    shuffle, that should not wait for its next full collection.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column back to back, and each row's offset (one more than rows); null is empty."""
     if column.null_count:

@@ -9,12 +9,15 @@ row that share it (about 32).
 
 1. First digit: suffixes part by the anchor's gram. A gram met once ends the sort for its windows.
 2. Second digit: the bytes of all windows of an anchor. Equal spans repeat whole, but for the first.
-3. Last digit: where a gram has several different spans, their windows part one by one.
+3. Third digit: where a gram has several different spans, each parts into quarters, its windows with
+   the anchor 0 to 15, 16 to 31, 32 to 47 and 48 to 63 bytes in. What all windows of a quarter have
+   in common (85 bytes) parts them first, then their whole bytes, as in pass 2.
+4. Last digit: what is still mixed parts window by window.
 
-Passes 1 and 2 are one shuffle of some 30 bytes for each anchor; each task first folds spans that it
+Pass 1 and 2 are one shuffle of some 30 bytes for each anchor; each task first folds spans that it
 meets twice itself, so groups of copies shrink before the shuffle. Groups of equal digits are never
-collected: they are ranked by sorted windows that spill. Digits of spans are 64-bit hashes, and
-pass 3 parts windows by two independent ones (128 bits).
+collected: they are ranked by sorted windows that spill. Digits of spans are 64-bit hashes beside
+that of their gram or common part, so two of them tell spans apart; pass 4 uses two as well.
 
 Edge cases: a null or empty text has no bytes and gives zeros and the digest of no bytes. Texts
 shorter than ``width`` lose nothing. Rows that repeat a doc_id are the same document, so neither is
@@ -31,12 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import annotate, blocks, cut
+from .common import annotate, blocks, cut, release
 
 #: Grams compared for a window's anchor: a power of two, for a sliding minimum by doubling.
 SPAN = 64
 U = np.uint64
-ANCHORS = "gram long, seg long, doc_id long, lo int, hi int, done boolean"
+#: Windows of a quarter of an anchor's span.
+QUARTER = SPAN // 4
+ANCHORS = "gram long, seg long, doc_id long, lo int, hi int, at int"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, ranges: W.Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,10 +78,10 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                 doc = np.searchsorted(offsets, lo, side="right") - 1
                 gram = ranges(at, at + width - SPAN + 1)
                 seg = W.combine(ranges(lo, hi + width), (at - lo).astype(np.uint64))
-                parts.append((gram, seg, ids[row:end][doc], lo - offsets[doc], hi - offsets[doc]))
+                parts.append((gram, seg, ids[row:end][doc], lo - offsets[doc], hi - offsets[doc], at - offsets[doc]))
             if not parts:
                 continue
-            gram, seg, doc, lo, hi = (np.concatenate(x) for x in zip(*parts))
+            gram, seg, doc, lo, hi, at = (np.concatenate(x) for x in zip(*parts))
             # Fold within the batch: of equal spans only the first goes on, later ones repeat whole.
             order = np.lexsort((lo, doc))
             key = W.combine(gram, seg)[order]
@@ -97,9 +102,9 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                     pa.array(np.concatenate([doc[goes], done_doc])),
                     pa.array(np.concatenate([lo[goes], done_lo]).astype(np.int32)),
                     pa.array(np.concatenate([hi[goes], done_hi - 1]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(len(goes), bool), np.ones(count, bool)])),
+                    pa.array(np.concatenate([at[goes], np.full(count, -1)]).astype(np.int32)),  # -1: repeats whole
                 ],
-                names=["gram", "seg", "doc_id", "lo", "hi", "done"],
+                names=["gram", "seg", "doc_id", "lo", "hi", "at"],
             )
 
     return docs.mapInArrow(run, ANCHORS)
@@ -122,51 +127,81 @@ def joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[first], lo[first], (reach - lift)[last]
 
 
-def _window_rows(docs: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """Every window of the spans: two independent hashes, doc_id and start."""
+def _open_spans(docs: DataFrame, spans: DataFrame, rows_of, schema: str) -> DataFrame:
+    """rows_of(ranges, other ranges, ids, offsets, doc, lo, hi, at) over the open spans of each document."""
+    gathered = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("spans"))
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
             column = batch.column(batch.schema.get_field_index("spans"))
             for row, end, data, offsets in blocks(batch, "text"):
-                one, two = W.Ranges(data), W.Ranges(data, salt=1)
                 part = column.slice(row, end - row)
-                flat = part.flatten()
                 doc = np.repeat(np.arange(end - row), np.diff(part.offsets.to_numpy()))
-                lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                counts = hi - lo + 1
-                ends = np.cumsum(counts)
-                at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(lo + offsets[doc], counts)
-                doc = np.repeat(doc, counts)
-                keep = at + width <= offsets[doc + 1]
-                at, doc = at[keep], doc[keep]
-                for i in range(0, len(at), 500_000):
-                    a, d = at[i : i + 500_000], doc[i : i + 500_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one(a, a + width).view(np.int64)), pa.array(two(a, a + width).view(np.int64)), pa.array(ids[row:end][d]), pa.array((a - offsets[d]).astype(np.int32))],
-                        names=["one", "two", "doc_id", "lo"],
-                    )
-
-    return docs.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "one long, two long, doc_id long, lo int")
+                lo, hi, at = (part.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) + offsets[doc] for i in range(3))
+                for made in rows_of(W.Ranges(data), W.Ranges(data, salt=1), offsets, doc, lo, hi, at):
+                    doc_of, one, two, *places = made
+                    places = [pa.array((x - offsets[doc_of]).astype(np.int32)) for x in places]
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[row:end][doc_of]), *places], names=names)
+
+    return docs.join(gathered, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+def _quarter_rows(width: int):
+    def rows_of(one, two, offsets, doc, lo, hi, at):
+        for q in range(0, SPAN, QUARTER):
+            first, last = np.maximum(lo, at - q - QUARTER + 1), np.minimum(hi, at - q)
+            keep = (first <= last) & (last + width <= offsets[doc + 1])
+            first, last, a = first[keep], last[keep], at[keep]
+            core = W.combine(one(a - q, a - q - QUARTER + 1 + width), np.full(len(a), q, np.uint64))
+            yield doc[keep], core, W.combine(two(first, last + width), (a - first).astype(np.uint64)), first, last, a
+
+    return rows_of
+
+
+def _window_rows(width: int):
+    def rows_of(one, two, offsets, doc, lo, hi, at):
+        counts = hi - lo + 1
+        for i in range(0, len(lo), 20_000):
+            n, d = counts[i : i + 20_000], doc[i : i + 20_000]
+            ends = np.cumsum(n)
+            a = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(lo[i : i + 20_000], n)
+            d = np.repeat(d, n)
+            keep = a + width <= offsets[d + 1]
+            a, d = a[keep], d[keep]
+            yield d, one(a, a + width), two(a, a + width), a
+
+    return rows_of
+
+
+def _ranked(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """What repeats whole (at is -1) and what is still mixed of spans with two digits."""
+    same = Window.partitionBy(first, second).orderBy("doc_id", "lo")
+    group = Window.partitionBy(first)
+    later = (F.col("at") < 0) | (F.col("nth") > 1)
+    return (
+        rows.repartition(first)
+        .select("*", F.rank().over(same).alias("nth"), F.min(second).over(group).alias("least"), F.max(second).over(group).alias("most"))
+        .where("at < 0 or nth > 1 or least <> most")
+        .select("doc_id", "lo", "hi", F.when(later, F.lit(-1)).otherwise(F.col("at")).alias("at"))
+    )
 
 
 def repeated_ranges(docs: DataFrame, width: int = 100) -> DataFrame:
     """(doc_id, spans): for each document with any, window starts [lo, hi] that repeat earlier windows."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = _anchor_rows(texts, width).repartition("gram")
-    same = Window.partitionBy("gram", "seg").orderBy("doc_id", "lo")
-    gram = Window.partitionBy("gram")
-    marks = cut(
-        placed.select("*", F.rank().over(same).alias("nth"), F.min("seg").over(gram).alias("least"), F.max("seg").over(gram).alias("most"))
-        .where("done or nth > 1 or least <> most")
-        .select("doc_id", "lo", "hi", (F.col("done") | (F.col("nth") > 1)).alias("done"))
-    )
-    found = marks.where("done").select("doc_id", "lo", "hi")
-    open_spans = marks.where("not done").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    marks = cut(_ranked(_anchor_rows(texts, width), "gram", "seg"))
+    release(docs.sparkSession)
+    quarters = _open_spans(texts, marks.where("at >= 0"), _quarter_rows(width), "core long, seg long, doc_id long, lo int, hi int, at int")
+    parts = cut(_ranked(quarters, "core", "seg"))
+    del quarters
+    release(docs.sparkSession)
+    windows = _open_spans(texts, parts.where("at >= 0"), _window_rows(width), "one long, two long, doc_id long, lo int")
     last = Window.partitionBy("one", "two").orderBy("doc_id", "lo")
-    later = _window_rows(texts, open_spans, width).select("doc_id", "lo", F.rank().over(last).alias("nth")).where("nth > 1").select("doc_id", "lo", F.col("lo").alias("hi"))
-    return found.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    later = windows.select("doc_id", "lo", F.rank().over(last).alias("nth")).where("nth > 1").select("doc_id", "lo", F.col("lo").alias("hi"))
+    whole = marks.unionByName(parts).where("at < 0").select("doc_id", "lo", "hi")
+    return whole.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 REMOVED = [
