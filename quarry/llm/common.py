@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow whose function may use this package: executors get its source files once."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_quarry_sent", False):
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry_source.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._quarry_sent = True
+    return df.mapInArrow(function, schema)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that nothing refers to any more.
 
@@ -104,4 +120,4 @@ def annotate(
             at = [batch.schema.get_field_index(name) for name in keep]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *made], names=[*keep, *(n for n, _, _ in named)])
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import annotate, blocks, cut, lists
+from .common import annotate, arrow, blocks, cut, lists
 from .components import components
 
 FIELDS = [
@@ -92,7 +92,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 48, all_pairs: int = 24, margin: float = 0.3) -> tuple[DataFrame, DataFrame]:
