@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import annotate, blocks, cut, release
+from .common import annotate, arrow, blocks, cut, release
 
 #: Grams compared for a window's anchor: a power of two, for a sliding minimum by doubling.
 SPAN = 64
@@ -107,7 +107,7 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                 names=["gram", "seg", "doc_id", "lo", "hi", "at"],
             )
 
-    return docs.mapInArrow(run, ANCHORS)
+    return arrow(docs, run, ANCHORS)
 
 
 def joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,8 +134,9 @@ def _open_spans(docs: DataFrame, spans: DataFrame, rows_of, schema: str) -> Data
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(batch.column(batch.schema.get_field_index("__spans")).is_valid())
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-            column = batch.column(batch.schema.get_field_index("spans"))
+            column = batch.column(batch.schema.get_field_index("__spans"))
             for row, end, data, offsets in blocks(batch, "text"):
                 part = column.slice(row, end - row)
                 doc = np.repeat(np.arange(end - row), np.diff(part.offsets.to_numpy()))
@@ -145,7 +146,9 @@ def _open_spans(docs: DataFrame, spans: DataFrame, rows_of, schema: str) -> Data
                     places = [pa.array((x - offsets[doc_of]).astype(np.int32)) for x in places]
                     yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[row:end][doc_of]), *places], names=names)
 
-    return docs.join(gathered, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    # A left join of the very rows that the removal joins, so that texts are shuffled once for both.
+    both = docs.join(gathered.select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans")), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    return arrow(both, run, schema)
 
 
 def _quarter_rows(width: int):
@@ -193,11 +196,11 @@ def repeated_ranges(docs: DataFrame, width: int = 100) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = cut(_ranked(_anchor_rows(texts, width), "gram", "seg"))
     release(docs.sparkSession)
-    quarters = _open_spans(texts, marks.where("at >= 0"), _quarter_rows(width), "core long, seg long, doc_id long, lo int, hi int, at int")
+    quarters = _open_spans(docs, marks.where("at >= 0"), _quarter_rows(width), "core long, seg long, doc_id long, lo int, hi int, at int")
     parts = cut(_ranked(quarters, "core", "seg"))
     del quarters
     release(docs.sparkSession)
-    windows = _open_spans(texts, parts.where("at >= 0"), _window_rows(width), "one long, two long, doc_id long, lo int")
+    windows = _open_spans(docs, parts.where("at >= 0"), _window_rows(width), "one long, two long, doc_id long, lo int")
     last = Window.partitionBy("one", "two").orderBy("doc_id", "lo")
     later = windows.select("doc_id", "lo", F.rank().over(last).alias("nth")).where("nth > 1").select("doc_id", "lo", F.col("lo").alias("hi"))
     whole = marks.unionByName(parts).where("at < 0").select("doc_id", "lo", "hi")
