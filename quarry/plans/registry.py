@@ -31,3 +31,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+from quarry.plans import retrieval  # noqa: E402, F401  registers its queries
