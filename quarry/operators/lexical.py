@@ -52,13 +52,13 @@ def statistics(docs: DataFrame, min_df: int = 2, tokenizer: Callable[[Column], C
 
 
 def scores(index: DataFrame, queries: DataFrame, tokenizer: Callable[[Column], Column] = X.unicode_tokens, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score): sum over shared terms of the term's count in the query times its weight.
+    """(query_id, doc_id, score): sum over shared terms of the term's count in the query times its weight, to nine digits, so that copies tie.
 
     An equi-join on the term: Catalyst broadcasts the query side where it is small, and shuffles both
     otherwise; sums are combined before they are shuffled.
     """
     asked = term_counts(queries, tokenizer, id_col, text_col).select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qf"))
-    return index.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qf") * F.col("weight")).alias("score"))
+    return index.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("weight")), 9).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id", banned: DataFrame | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ post AS (SELECT k.doc_id, k.term, k.tf, k.df, k.idf * k.tf * 2.5 / (k.tf + 1.5 *
 
 SCORED_SQL = """qtok AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM benchmark),
 qcnt AS (SELECT query_id, term, count(*) AS qf FROM qtok GROUP BY query_id, term),
-scored AS (SELECT query_id, doc_id, sum(qf * weight) AS score FROM qcnt JOIN post USING (term) GROUP BY query_id, doc_id),
+scored AS (SELECT query_id, doc_id, round(sum(qf * weight), 9) AS score FROM qcnt JOIN post USING (term) GROUP BY query_id, doc_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k})"""
 
 

@@ -34,3 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 from quarry.plans import retrieval  # noqa: E402, F401  registers its queries
+from quarry.plans import corpora  # noqa: E402, F401
