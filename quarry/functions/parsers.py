@@ -37,9 +37,13 @@ def parse_article(text: str | None) -> dict:
     return out
 
 
-@F.pandas_udf(ARTICLE_SCHEMA)
-def article(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_article(t) for t in texts], columns=["title", "abstract", "sections"])
+def article(text: Column) -> Column:
+    """A marked article's parts as a struct."""
+
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_article(t) for t in texts], columns=["title", "abstract", "sections"])
+
+    return F.pandas_udf(parse, ARTICLE_SCHEMA)(text)
 
 
 def article_pair(parsed: Column) -> Column:
@@ -52,17 +56,22 @@ def article_pair(parsed: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
-def unescape(texts: pd.Series) -> pd.Series:
+def unescaped(text: str | None) -> str | None:
     """Backslash escapes decoded; what is no escape stays, in any script."""
-    pattern = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[ntr\\'\"])")
     plain = {"n": "\n", "t": "\t", "r": "\r"}
 
     def one(m: re.Match) -> str:
         code = m[0][1:]
         return chr(int(code[1:], 16)) if code[0] in "ux" else plain.get(code, code)
 
-    return texts.map(lambda t: None if t is None else pattern.sub(one, t))
+    return None if text is None else re.sub(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[ntr\\'\"])", one, text)
+
+
+def unescape(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(unescaped)
+
+    return F.pandas_udf(run, "string")(text)
 
 
 class _Markdown(HTMLParser):
@@ -126,9 +135,13 @@ def parse_page(html: str | None) -> dict:
     return {"title": title, "text": text, "sections": sections}
 
 
-@F.pandas_udf(PAGE_SCHEMA)
-def page(htmls: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(h) for h in htmls], columns=["title", "text", "sections"])
+def page(html: Column) -> Column:
+    """A page's parts as a struct."""
+
+    def parse(htmls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_page(h) for h in htmls], columns=["title", "text", "sections"])
+
+    return F.pandas_udf(parse, PAGE_SCHEMA)(html)
 
 
 RESPONSE = "struct<candidates: array<struct<content: struct<parts: array<struct<text: string>>>>>, usageMetadata: struct<promptTokenCount: bigint, candidatesTokenCount: bigint>>"

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import send_source
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -17,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         if name in _queries:
             raise ValueError(f"two queries are named {name}")
-        _queries[name] = function
+        _queries[name] = wraps(function)(lambda spark, sf_dir: (send_source(spark), function(spark, sf_dir))[1])
         if sql is not None:
             _sql[name] = sql
         return function
@@ -35,3 +38,5 @@ def oracle_sql() -> dict[str, str]:
 
 from quarry.plans import retrieval  # noqa: E402, F401  registers its queries
 from quarry.plans import corpora  # noqa: E402, F401
+from quarry.plans import analyses, extensions  # noqa: E402, F401
+from quarry.plans import longdocs  # noqa: E402, F401
