@@ -22,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import annotate, arrow, blocks, cut, lists
+from .common import annotate, arrow, blocks, cut, lists, release
 from .components import components
 
+#: Long lists in which a document stands after the first round.
+LATER_LISTS = 16
+
 FIELDS = [
     ("n_shingles", T.LongType(), pa.int64()),
     ("digest", T.BinaryType(), pa.binary()),
@@ -119,6 +122,7 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 48, a
     counted = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("leader"), F.min_by("n", "doc").alias("leader_n")).where("members > 1")
     shared = cut(posted.join(counted, "key"))
 
+    release(docs.sparkSession)
     short = shared.where(F.col("members") <= all_pairs).select("key", "doc", "n")
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     pairs = (
@@ -127,34 +131,49 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 48, a
         .where((F.col("a") < F.col("b")) & fits("na", "nb"))
         .select("a", "b")
     )
-    long = shared.where(F.col("members") > all_pairs)
-    star = long.where((F.col("doc") > F.col("leader")) & fits("n", "leader_n")).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    star = shared.where((F.col("members") > all_pairs) & (F.col("doc") > F.col("leader")) & fits("n", "leader_n")).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     tested = cut(pairs.unionByName(star).distinct())
+    # In later rounds a document stands in its smallest long lists only: the two of a pair share about
+    # half of their runs, so that all of the first sixteen differ has odds under 1e-4.
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("key"))
+    long = cut(shared.where(F.col("members") > all_pairs).select("key", "doc", "n", nth.alias("nth")).where(F.col("nth") <= LATER_LISTS).drop("nth"))
 
-    def linked(candidates: DataFrame) -> DataFrame:
+    def rate(candidates: DataFrame) -> DataFrame:
+        """Pairs by their sketches: same and union counted, whole if the sketches are the full sets."""
         side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         both = candidates.join(side("a"), "a").join(side("b"), "b")
-        whole = F.greatest("na", "nb") <= k  # these sketches are the full sets
+        whole = F.greatest("na", "nb") <= k
         union = F.array_union("sa", "sb")
         union = F.when(whole, union).otherwise(F.slice(F.sort_array(union), 1, k))
-        rated = both.withColumn("u", union).select("a", "b", "na", "nb", F.size("u").alias("union"), F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))).alias("same"))
-        exact = rated.where(whole & (F.col("same") * 100 >= F.col("union") * percent)).select("a", "b")
-        likely = rated.where(~whole & (F.col("same") >= F.col("union") * (percent / 100 - margin))).select("a", "b")
-        return exact.unionByName(_verify(likely, docs.select("doc_id", "text"), size, percent)).distinct()
-
-    links = cut(linked(tested))
+        rated = both.withColumn("u", union).select("a", "b", whole.alias("whole"), F.size("u").alias("union"), F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))).alias("same"))
+        sure, likely = F.col("same") * 100 >= F.col("union") * percent, F.col("same") >= F.col("union") * (percent / 100 - margin)
+        return cut(rated.where(F.when(F.col("whole"), sure).otherwise(likely)).select("a", "b", "whole"))
+
+    rated = rate(tested)
+    # The texts that any round may verify, found in one pass over all texts: those of likely pairs,
+    # and those that stand in long lists.
+    likely = rated.where("not whole")
+    wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(long.select(F.col("doc").alias("doc_id"))).distinct()
+    texts = cut(docs.select("doc_id", "text").where("doc_id is not null").join(wanted, "doc_id", "left_semi"))
+    release(docs.sparkSession)
+
+    def verified(rated: DataFrame) -> DataFrame:
+        return rated.where("whole").select("a", "b").unionByName(_verify(rated.where("not whole").select("a", "b"), texts, size, percent)).distinct()
+
+    links = cut(verified(rated))
     # Long lists whose members are still in several components: their least member outside the first
     # component is compared too, and so on while that links anything.
     while True:
         if long.isEmpty():
             return classes, links
         found = components(links, "a", "b").select(F.col("node").alias("doc"), "component")
-        placed = cut(long.select("key", "doc", "n").join(found, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component")))
+        placed = cut(long.join(found, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component")))
         led = placed.groupBy("key").agg(F.min(F.struct("doc", "component")).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", F.col("first.component").alias("gone"))
         second = placed.join(led, "key").where("component <> gone").groupBy("key").agg(F.min(F.struct("doc", "n", "component")).alias("next"))
-        more = placed.join(second, "key").where((F.col("component") != F.col("next.component"))).select(F.least("doc", "next.doc").alias("a"), F.greatest("doc", "next.doc").alias("b"), "n", F.col("next.n").alias("m")).where(fits("n", "m")).select("a", "b").distinct()
+        more = placed.join(second, "key").where(F.col("component") != F.col("next.component")).select(F.least("doc", "next.doc").alias("a"), F.greatest("doc", "next.doc").alias("b"), "n", F.col("next.n").alias("m")).where(fits("n", "m")).select("a", "b").distinct()
         fresh = cut(more.join(tested, ["a", "b"], "left_anti"))
-        new = cut(linked(fresh))
+        new = cut(verified(rate(fresh)))
+        release(docs.sparkSession)
         if new.isEmpty():
             return classes, links
         tested, links = cut(tested.unionByName(fresh)), cut(links.unionByName(new))
