@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quarry.session import send_source
+
 #: Bytes of text that one vectorised step holds; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
 
@@ -37,15 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow whose function may use this package: executors get its source files once."""
-    context = df.sparkSession.sparkContext
-    if not getattr(context, "_quarry_sent", False):
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry_source.zip"
-        with zipfile.ZipFile(target, "w") as archive:
-            for file in sorted(root.rglob("*.py")):
-                archive.write(file, file.relative_to(root.parent))
-        context.addPyFile(str(target))
-        context._quarry_sent = True
+    send_source(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
