@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quarry.session import send_source
 
 #: Bytes of text that one vectorised step holds; a longer text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
