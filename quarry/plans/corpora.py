@@ -518,14 +518,14 @@ def j21(spark, sf):
     return rescue(C.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("query_id"), (F.col("l_quantity") > 20).alias("hit")), "N")
 
 
-@query("j24_zipped_by_place", "SELECT p_partkey, s_name FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i FROM part WHERE p_partkey <= 50) JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier WHERE s_suppkey <= 50) USING (i)")
+@query("j24_zipped_by_place", "SELECT p_partkey, c_name FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i FROM part ORDER BY p_partkey LIMIT 100) JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer ORDER BY c_custkey LIMIT 100) USING (i)")
 def j24(spark, sf):
     from quarry.operators.enrichment import zipped
 
     nth = lambda df, c: df.withColumn("position", F.row_number().over(Window.orderBy(c)))
-    a = nth(C.table(spark, sf, "part").where("p_partkey <= 50").select("p_partkey"), "p_partkey")
-    b = nth(C.table(spark, sf, "supplier").where("s_suppkey <= 50"), "s_suppkey").select("position", "s_name")
-    return zipped(b, a).select("p_partkey", "s_name")
+    a = nth(C.table(spark, sf, "part").select("p_partkey").orderBy("p_partkey").limit(100), "p_partkey")
+    b = nth(C.table(spark, sf, "customer").orderBy("c_custkey").limit(100), "c_custkey").select("position", "c_name")
+    return zipped(b, a).select("p_partkey", "c_name")
 
 
 @query("j17_worst_signals", "SELECT l_orderkey AS query_id, min(p_size) AS least_size, max(p_retailprice) AS most_price FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
