@@ -40,3 +40,4 @@ from quarry.plans import retrieval  # noqa: E402, F401  registers its queries
 from quarry.plans import corpora  # noqa: E402, F401
 from quarry.plans import analyses, extensions  # noqa: E402, F401
 from quarry.plans import longdocs  # noqa: E402, F401
+from quarry.plans import more  # noqa: E402, F401

@@ -175,3 +175,30 @@ def test_event_stream(spark, tmp_path):
     seen = ladder.first_seen(stream.select("ts", "event_type"), "event_type", "40 days")
     seen.writeStream.format("memory").queryName("s").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("s").count() == events.select("event_type").distinct().count()
+
+
+def test_phases_go_on_and_isolate(spark, tmp_path):
+    from quarry.streaming.phases import Phases, cache_key, encoded_in_parts, latest_run
+
+    ran = []
+
+    def step(phase, fails=()):
+        def run(dataset):
+            ran.append((dataset, phase))
+            if dataset in fails:
+                raise ValueError("no")
+            return not (dataset == "c" and phase == "pilot_qa")
+
+        return run
+
+    steps = {p: step(p, ("b",) if p == "pilot" else ()) for p in ("candidates", "pilot", "pilot_qa", "export")}
+    state = Phases(spark, str(tmp_path / "log"), steps).run(["a", "b", "c"])
+    assert state["a"] == "export" and state["b"].startswith("failed in pilot") and state["c"] == "stopped at pilot_qa"
+    ran.clear()
+    Phases(spark, str(tmp_path / "log"), steps | {"pilot": step("pilot")}).run(["a", "b"])
+    assert ran == [("b", "pilot"), ("b", "pilot_qa"), ("b", "export")]
+    assert latest_run(spark, str(tmp_path)).endswith("/log")
+    assert cache_key("a", "s", 1, 2, 3) != cache_key("a", "s", 1, 2, 4)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    made = encoded_in_parts(rows, str(tmp_path / "v"), stubs.encode, 4)
+    assert made.count() == 20 and encoded_in_parts(rows, str(tmp_path / "v"), stubs.encode, 4).count() == 20
