@@ -48,17 +48,12 @@ def split(rows: DataFrame, key: str, ratio: float, seed: int = GLOBAL_SEED) -> D
 
 
 def split_exact(rows: DataFrame, key: str, test: float, seed: int = GLOBAL_SEED) -> DataFrame:
-    """rows with split by rank of their seeds: test has ceil(test * n) rows, half of them validation.
-
-    The threshold is the seed of that rank, found by a partial sort of seeds alone.
-    """
+    """rows with split by rank of their seeds: ceil(test * n) rows are held out, the first half of them for validation."""
     seeded = rows.withColumn("__seed", seed64(F.lit(seed), F.col(key)))
     n = rows.count()
     held = -(-int(round(test * n * 1_000_000)) // 1_000_000)
-    place = F.row_number().over(Window.orderBy("__seed", key)).cast("long")
-    chosen = seeded.select("__seed", key).orderBy("__seed", key).limit(held).withColumn("__place", place)
-    out = rows.join(chosen.select(key, "__place"), key, "left")
-    return out.withColumn("split", F.when(F.col("__place") > held // 2, "test").when(F.col("__place").isNotNull(), "validation").otherwise("train")).drop("__place")
+    out = numbered(seeded, "__seed", "__place")
+    return out.withColumn("split", F.when(F.col("__place") > held, "train").when(F.col("__place") > held // 2, "test").otherwise("validation")).drop("__place", "__seed")
 
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = GLOBAL_SEED, by: list[str] | None = None) -> DataFrame:
@@ -101,13 +96,23 @@ def running(rows: DataFrame, amount: str, order: str, name: str = "running", par
     return dealt.withColumn("__inside", inside).join(F.broadcast(totals), "__part").withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows numbered from 1 in order of a unique number; no window runs over all rows."""
+    return running(rows.withColumn("__one", F.lit(1)), "__one", order, name).drop("__one")
+
+
 def within_budget(rows: DataFrame, amount: str, budget: int, order: str) -> DataFrame:
     """The longest beginning of the rows whose amounts add up to no more than the budget."""
     return running(rows, amount, order, "__running").where(F.col("__running") <= budget).drop("__running")
 
 
 def shards(rows: DataFrame, size: int, order: list, by: list[str] | None = None) -> DataFrame:
-    """rows with shard: row i, from 0 in order, goes to shard i // size; of each group, or of all."""
+    """rows with shard: row i, from 0 in order, goes to shard i // size; of each group, or of all.
+
+    In order of one number, of all rows, numbering is two-level; another order of all is one task's work.
+    """
+    if not by and len(order) == 1 and dict(rows.dtypes).get(order[0]) in ("int", "bigint"):
+        return numbered(rows, order[0], "shard").withColumn("shard", F.floor((F.col("shard") - 1) / size).cast("long"))
     window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     return rows.withColumn("shard", F.floor((F.row_number().over(window) - 1) / size).cast("long"))
 
