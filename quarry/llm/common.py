@@ -16,6 +16,8 @@ from quarry.session import send_source
 
 #: Bytes of text that one vectorised step holds; a longer text is a step of its own.
 STEP_BYTES = 500_000
+#: Sizes of batches between the JVM and Python: Spark's default, and what holds texts in bounded memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow whose function may use this package: executors get its source files once."""
+    """mapInArrow whose function may use this package: executors get its source files once.
+
+    Rows here are whole texts, so a session that has Spark's own batch sizes gets smaller ones.
+    """
+    conf = df.sparkSession.conf
+    for key, (default, ours) in BATCHES.items():
+        if conf.get(key, default).rstrip("b") == default:
+            conf.set(key, ours)
     send_source(df.sparkSession)
     return df.mapInArrow(function, schema)
 

@@ -39,6 +39,8 @@ from .common import annotate, arrow, blocks, cut, release
 #: Grams compared for a window's anchor: a power of two, for a sliding minimum by doubling.
 SPAN = 64
 U = np.uint64
+#: Anchors that a task folds at once.
+FOLD = 400_000
 #: Windows of a quarter of an anchor's span.
 QUARTER = SPAN // 4
 ANCHORS = "gram long, seg long, doc_id long, lo int, hi int, at int"
@@ -67,11 +69,39 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, ranges: W.Ranges)
     return windows[first], windows[last], anchor[first]
 
 
+def _folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Anchors' rows; of equal spans among them only the first goes on, later ones repeat whole."""
+    gram, seg, doc, lo, hi, at = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((lo, doc))
+    key = W.combine(gram, seg)[order]
+    order = order[np.argsort(key, kind="stable")]
+    key = np.sort(key)
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))] if len(key) else order
+    same = (doc[order] == doc[head]) & (lo[order] == lo[head])  # repeated rows of one document
+    done = order[~fresh & ~same]
+    goes = order[fresh]
+    done_doc, done_lo, done_hi = joined(doc[done], lo[done], hi[done] + 1)
+    count = len(done_doc)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([gram[goes], W.mix(done_doc.astype(np.uint64) * U(3) + done_lo.astype(np.uint64))]).view(np.int64)),
+            pa.array(np.concatenate([seg[goes].view(np.int64), np.zeros(count, np.int64)])),
+            pa.array(np.concatenate([doc[goes], done_doc])),
+            pa.array(np.concatenate([lo[goes], done_lo]).astype(np.int32)),
+            pa.array(np.concatenate([hi[goes], done_hi - 1]).astype(np.int32)),
+            pa.array(np.concatenate([at[goes], np.full(count, -1)]).astype(np.int32)),  # -1: repeats whole
+        ],
+        names=["gram", "seg", "doc_id", "lo", "hi", "at"],
+    )
+
+
 def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = []
             for row, end, data, offsets in blocks(batch, "text"):
                 ranges = W.Ranges(data)
                 lo, hi, at = anchors(data, offsets, width, ranges)
@@ -79,33 +109,12 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                 gram = ranges(at, at + width - SPAN + 1)
                 seg = W.combine(ranges(lo, hi + width), (at - lo).astype(np.uint64))
                 parts.append((gram, seg, ids[row:end][doc], lo - offsets[doc], hi - offsets[doc], at - offsets[doc]))
-            if not parts:
-                continue
-            gram, seg, doc, lo, hi, at = (np.concatenate(x) for x in zip(*parts))
-            # Fold within the batch: of equal spans only the first goes on, later ones repeat whole.
-            order = np.lexsort((lo, doc))
-            key = W.combine(gram, seg)[order]
-            order = order[np.argsort(key, kind="stable")]
-            key = np.sort(key)
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
-            head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))] if len(key) else order
-            same = (doc[order] == doc[head]) & (lo[order] == lo[head])  # repeated rows of one document
-            done = order[~fresh & ~same]
-            goes = order[fresh]
-            done_doc, done_lo, done_hi = joined(doc[done], lo[done], hi[done] + 1)
-            count = len(done_doc)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([gram[goes], W.mix(done_doc.astype(np.uint64) * U(3) + done_lo.astype(np.uint64))]).view(np.int64)),
-                    pa.array(np.concatenate([seg[goes].view(np.int64), np.zeros(count, np.int64)])),
-                    pa.array(np.concatenate([doc[goes], done_doc])),
-                    pa.array(np.concatenate([lo[goes], done_lo]).astype(np.int32)),
-                    pa.array(np.concatenate([hi[goes], done_hi - 1]).astype(np.int32)),
-                    pa.array(np.concatenate([at[goes], np.full(count, -1)]).astype(np.int32)),  # -1: repeats whole
-                ],
-                names=["gram", "seg", "doc_id", "lo", "hi", "at"],
-            )
+                held += len(lo)
+                if held >= FOLD:
+                    yield _folded(parts)
+                    parts, held = [], 0
+        if parts:
+            yield _folded(parts)
 
     return arrow(docs, run, ANCHORS)
 
