@@ -20,6 +20,8 @@ results.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -29,16 +31,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import annotate, blocks
+from .common import annotate, blocks, lists
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of the words that advance together, at most, and the length from which a word is alone.
 TOGETHER, LONG = 400_000, 2_000
 #: Distinct words whose ids a task keeps.
-MEMORY = 300_000
+MEMORY = 400_000
+#: Bytes of text whose new words are encoded together.
+BLOCK = 4_000_000
 U = np.uint64
 MISS = -1e18
+#: First bits of a hash by which sorted keys are entered.
+PROBE_BITS = 20
 #: A character that is its bytes costs this much below the worst piece, as an unknown one in SentencePiece.
 PENALTY = 10.0
 
@@ -76,9 +82,21 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
         self.scores, self.ids = np.array(scores)[order], np.array(ids, np.int32)[order]
+        # Where the sorted keys with given first bits begin: most probes end there, at an empty range.
+        self.first = np.searchsorted(self.keys >> U(64 - PROBE_BITS), np.arange((1 << PROBE_BITS) + 1).astype(np.uint64)).astype(np.int32)
+        self.longest = int(np.diff(self.first).max())
         self.lengths = sorted(lengths)
         self.fallback = float(self.scores.min()) - PENALTY
-        self.byte_of = {i: b for b, i in enumerate(self.byte) if i >= 0}
+        # What each id stands for in a text, back to back.
+        spelled = [t.replace(MARK, " ").encode("utf-8", "surrogatepass") for t in self.text]
+        for b, i in enumerate(self.byte):
+            if i >= 0:
+                spelled[i] = bytes([b])
+        if self.unknown >= 0:
+            spelled[self.unknown] = "⁇".encode()
+        self.size_of = np.array([len(x) for x in spelled])
+        self.start_of = np.cumsum(self.size_of) - self.size_of
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
 
     @staticmethod
     def sums(points: np.ndarray) -> np.ndarray:
@@ -97,6 +115,21 @@ class Pieces:
         """What a substring's length adds to its hash."""
         return U(k * 0xD6E8FEB86659FD93 % 2**64)
 
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, place among the sorted keys) of the hashes that are keys."""
+        bucket = (h >> U(64 - PROBE_BITS)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        row, column = np.nonzero(at < end)
+        at, end, wanted = at[row, column], end[row, column], h[row, column]
+        hits = [(row[:0], column[:0], at[:0])]
+        for _ in range(self.longest):
+            hit = self.keys[np.minimum(at, len(self.keys) - 1)] == wanted
+            hits.append((row[hit], column[hit], at[hit]))
+            at = at + 1
+            left = ~hit & (at < end)
+            row, column, at, end, wanted = row[left], column[left], at[left], end[left], wanted[left]
+        return tuple(map(np.concatenate, zip(*hits)))
+
     def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the best piece that ends at each place, for words of equal length (words, places); id -1: a single character without a piece."""
         words, n = points.shape
@@ -106,11 +139,10 @@ class Pieces:
         found = np.full((len(lengths), words, n), -1, np.int32)
         for i, k in enumerate(lengths):
             h = W.mix((sums[:, k:] - sums[:, :-k]) * back[: n - k + 1] + self.size(k))
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
+            row, place, key = self.probe(h)
             # Kept at the place of the substring's last character.
-            score[i, :, k - 1 :] = np.where(hit, self.scores[at], MISS)
-            found[i, :, k - 1 :] = np.where(hit, self.ids[at], -1)
+            score[i, row, place + k - 1] = self.scores[key]
+            found[i, row, place + k - 1] = self.ids[key]
         single = lengths.index(1)
         score[single] = np.where(found[single] < 0, self.fallback, score[single])
         best = np.full((words, n + 1), MISS)
@@ -127,54 +159,110 @@ class Pieces:
             piece[:, end - 1] = found[pick, rows, end - 1]
         return took, piece
 
-    def _ids(self, word: str, took: np.ndarray, piece: np.ndarray) -> list[int]:
-        out: list[int] = []
-        end = len(word)
-        while end:
-            k, i = int(took[end - 1]), int(piece[end - 1])
-            if i >= 0:
-                out.append(i)
+    def _back(self, points: np.ndarray, took: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids back to back, number of each word) along the backpointers, all words a piece at a time."""
+        rows, end = np.arange(len(took)), np.full(len(took), took.shape[1])
+        steps, owners = [], []
+        while len(rows):
+            at = end - 1
+            ids = piece[rows, at]
+            missing = np.flatnonzero(ids < 0)
+            if len(missing):  # characters without a piece: their bytes' pieces, last byte first
+                done = np.ones(len(rows), bool)
+                done[missing] = False
+                parts, own = [ids[done]], [rows[done]]
+                for i in missing:
+                    spelled = chr(points[rows[i], at[i]]).encode("utf-8", "replace")[::-1]
+                    parts.append(np.array([x if x >= 0 else self.unknown for x in (self.byte[b] for b in spelled)], np.int32))
+                    own.append(np.full(len(spelled), rows[i]))
+                steps.append(np.concatenate(parts))
+                owners.append(np.concatenate(own))
             else:
-                for b in reversed(word[end - 1].encode("utf-8", "replace")):
-                    out.append(self.byte[b] if self.byte[b] >= 0 else self.unknown)
-            end -= k
-        return out[::-1]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of some distinct words."""
+                steps.append(ids)
+                owners.append(rows)
+            end = end - took[rows, at]
+            left = end > 0
+            rows, end = rows[left], end[left]
+        ids, owner = np.concatenate(steps)[::-1], np.concatenate(owners)[::-1]
+        order = np.argsort(owner, kind="stable")  # the last pieces came first, and are turned around
+        return ids[order], np.bincount(owner, minlength=len(took))
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids back to back, number of each word) of some distinct words."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        out: list[list[int]] = [[]] * len(words)
+        parts, counts, order = [], [], []
         for n, members in by_length.items():
             step = max(1, TOGETHER // (n * len(self.lengths))) if n < LONG else 1
             for a in range(0, len(members), step):
                 part = members[a : a + step]
-                points = _points("".join(words[i] for i in part)).reshape(len(part), n)
-                took, piece = self.viterbi(points)
-                for row, i in enumerate(part):
-                    out[i] = self._ids(words[i], took[row], piece[row])
-        return out
-
-    def encode(self, texts: list[str], memory: dict[str, list[int]] | None = None) -> list[np.ndarray]:
-        """Ids of each text."""
-        memory = {} if memory is None else memory
+                points = _points("".join([words[i] for i in part])).reshape(len(part), n)
+                ids, each = self._back(points, *self.viterbi(points))
+                parts.append(ids)
+                counts.append(each)
+                order += part
+        if not order:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        each, flat = np.concatenate(counts), np.concatenate(parts).astype(np.int32)
+        start = np.concatenate([[0], np.cumsum(each)[:-1]])
+        back = np.argsort(order)
+        return gathered(flat, start[back], each[back]), each[back]
+
+    def encode(self, texts: list[str], memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids back to back, number of each text); distinct words are encoded once while memory holds them."""
+        memory = Memory() if memory is None else memory
         parted = [split(t) for t in texts]
-        fresh = list({w for words in parted for w in words if w not in memory})
-        if len(memory) + len(fresh) > MEMORY:
+        known = memory.index
+        fresh = list(set(chain.from_iterable(parted)).difference(known))
+        if len(known) + len(fresh) > MEMORY and known:
             memory.clear()
-            fresh = list({w for words in parted for w in words})
-        memory.update(zip(fresh, (np.array(x, np.int32) for x in self.encode_words(fresh))))
-        return [np.concatenate([memory[w] for w in words]) if words else np.empty(0, np.int32) for words in parted]
+            fresh = list(set(chain.from_iterable(parted)))
+        memory.add(fresh, *self.encode_words(fresh))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(parted)), np.int64)
+        each = memory.count[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        border = np.concatenate([[0], np.cumsum([len(words) for words in parted])]).astype(np.int64)
+        return gathered(memory.flat, memory.start[at], each), upto[border[1:]] - upto[border[:-1]]
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids back to back; runs of byte pieces are decoded together."""
+        size = self.size_of[ids]
+        whole = gathered(self.spelled, self.start_of[ids], size).tobytes()
+        upto = np.concatenate([[0], np.cumsum(size)])
+        border = upto[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        out = []
+        for a, b in zip(border[:-1].tolist(), border[1:].tolist()):
+            text = whole[a:b].decode("utf-8", "replace")
+            out.append(text[1:] if text.startswith(" ") else text)
+        return out
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + count) of an array, back to back."""
+    total = int(count.sum())
+    if not total:
+        return flat[:0]
+    before = np.cumsum(count) - count
+    return flat[np.arange(total) + np.repeat(start - before, count)]
+
+
+class Memory:
+    """Ids of words met before: places in one array."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.index.clear()
+        self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def decode(self, ids: list[int] | np.ndarray) -> str:
-        """The text of some ids; runs of byte pieces are decoded together."""
-        out = bytearray()
-        for i in map(int, ids):
-            b = self.byte_of.get(i)
-            out += bytes([b]) if b is not None else "⁇".encode() if i == self.unknown else self.text[i].encode("utf-8", "surrogatepass")
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+    def add(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        if words:
+            self.index.update(zip(words, range(len(self.count), len(self.count) + len(words))))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+            self.flat, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.count, count])
 
 
 def split(text: str) -> list[str]:
@@ -205,15 +293,15 @@ def encode(docs: DataFrame, model: str | None = None, names: dict[str, str] | No
     path = model or public_tokenizers.path(MODEL)
 
     def make():
-        pieces, memory = Pieces(path), {}
+        pieces, memory = Pieces(path), Memory()
 
         def work(batch):
-            out, texts = [], batch.column(batch.schema.get_field_index("text"))
-            for row, end, _, _ in blocks(batch, "text"):
-                out += pieces.encode([t or "" for t in texts.slice(row, end - row).to_pylist()], memory)
-            flat = np.concatenate(out) if out else np.empty(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            ids, counts, texts = [np.empty(0, np.int32)], [np.empty(0, np.int64)], batch.column(batch.schema.get_field_index("text"))
+            for row, end, _, _ in blocks(batch, "text", BLOCK):
+                flat, each = pieces.encode([t or "" for t in texts.slice(row, end - row).to_pylist()], memory)
+                ids.append(flat)
+                counts.append(each)
+            return [lists(np.concatenate(ids), np.concatenate(counts), pa.int32())]
 
         return work
 
@@ -229,7 +317,12 @@ def decode(rows: DataFrame, model: str | None = None, names: dict[str, str] | No
 
         def work(batch):
             column = batch.column(batch.schema.get_field_index("ids"))
-            return [[pieces.decode(x.values.to_numpy()) if x.is_valid else "" for x in column]]
+            offsets, out = column.offsets.to_numpy(), []
+            values = column.values.to_numpy()
+            for i in range(0, len(column), 500):
+                part = offsets[i : i + 501]
+                out += pieces.decode(values[part[0] : part[-1]], np.diff(part))
+            return [out]
 
         return work
 

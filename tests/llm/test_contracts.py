@@ -457,8 +457,10 @@ def test_op10_against_the_library():
     library, own = unigram_model(), pieces.Pieces(public_tokenizers.path(pieces.MODEL))
     texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()
     words = sorted({w for t in texts for w in t.split() if all(own.hash(c) in own.keys for c in w)})[:4000]
-    for word, ids in zip(words, own.encode(words)):
-        best = library.nbest_encode_as_ids(word, 2)
+    flat, counts = own.encode(words)
+    ends = counts.cumsum()
+    for word, a, b in zip(words, ends - counts, ends):
+        ids, best = flat[a:b], library.nbest_encode_as_ids(word, 2)
         score = lambda x: sum(library.get_score(int(i)) for i in x)
         assert list(ids) == best[0] or score(ids) == pytest.approx(score(best[0]), rel=1e-6)
 
@@ -468,8 +470,11 @@ def test_op10_round_trip(odd, real):
         got = pieces.round_trip_rows(df).collect()
         assert len(got) == len(rows) and all(r.round_trip for r in got)
     own = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
-    long = "x" * 7000 + "龘é"
-    assert own.decode(own.encode([long])[0]) == long
+    texts = ["x" * 7000 + "龘é", "", "  a  b ", "\U0001f600" * 3, "\x00\x01", "y" * 7000]
+    assert own.decode(*own.encode(texts)) == texts
+    kept = pieces.Memory()
+    for t in texts * 2:  # words met before give the same ids
+        assert own.decode(*own.encode([t], kept)) == [t]
 
 
 def test_empty_tables(spark, empty):
