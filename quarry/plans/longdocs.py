@@ -112,7 +112,9 @@ def r09(spark, sf):
 
 @query("v15_verification_suite")
 def v15(spark, sf):
-    return V.suite(*built(spark, sf))
+    """All checks of one build; it is kept, as each check reads it."""
+    welded, seeds, j = built(spark, sf)
+    return V.suite(welded.persist(), seeds, j)
 
 
 @query("v08_constant_size", "SELECT 'corpus_size' AS \"check\", true AS ok, 0::BIGINT AS violations, '' AS detail")
