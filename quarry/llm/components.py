@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _step(edges: DataFrame) -> DataFrame:
+    """One large star and one small star."""
+    # Large star: each node sends its larger neighbours to its smallest neighbour or itself.
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # Small star: each node and its smaller neighbours go to the smallest of them.
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each linked node with the smallest node it reaches.
 
@@ -21,14 +33,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state = _state(edges)
     while state[0]:
-        # Large star: each node sends its larger neighbours to its smallest neighbour or itself.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: each node and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(_step(edges))
+        release(edges.sparkSession)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -5,10 +5,12 @@ smallest shingle hashes). Equal sets are one class from then on, whatever its si
 are keyed by runs of three neighbouring retained values: where two sets have a resemblance of 0.8,
 at most a fifth of their union's values break runs, so for sets that the sketch holds whole some run
 of three is always common (a run of two for sets of up to five), and for longer ones all but
-certainly (a miss has odds under 1e-7 at 48 retained values). Lists of up to ``all_pairs`` members
-give all their pairs; longer ones give each member's pair with the list's least member, and after
-linking again with the least member outside the classes already reached, until a round links
-nothing new. Union sketches estimate each pair, and exact Jaccard over the full sets verifies it.
+certainly (a miss has odds under 1e-9 at 64 retained values). Lists of up to ``all_pairs`` members
+give all their pairs; longer ones give each member's pair with the list's least member, and then, among
+members that are not yet linked, pairs with its most central members, between neighbours by size, and
+by single retained values that up to ``RARE`` of them have, until a round links nothing new.
+Two documents that share only long lists and are alike are both like a central one, or near in size,
+or share what most of the others do not have. Union sketches estimate each pair, and exact Jaccard over the full sets verifies it.
 
 Edge cases: a null or empty text, or one of white space only, has an empty set and no links. Rows
 that repeat a doc_id are each judged by their own text. A null doc_id is never linked; its component is null and the row
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,8 @@ from .components import components
 
 #: Long lists in which a document stands after the first round.
 LATER_LISTS = 16
+#: Members of long lists that all meet by a single retained value, at most.
+RARE = 200
 
 FIELDS = [
     ("n_shingles", T.LongType(), pa.int64()),
@@ -98,21 +102,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 48, all_pairs: int = 24, margin: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """(classes, links) of docs(doc_id, text).
+def _fits(x: str, y: str, percent: int) -> Column:
+    """Whether sets of two sizes can be as alike as asked."""
+    return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
-    classes: doc_id, n_shingles, rep (smallest doc_id with an equal set; null for empty sets).
-    links: (a, b) between class representatives, all verified over the full sets.
-    """
-    sets = cut(sketches(docs.select("doc_id", "text"), size, k).drop("text"))
-    known = sets.where("digest is not null and doc_id is not null")
-    heads = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = sets.join(heads, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    # One row for each class; a digest's sketch and size are the same in all its rows.
-    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("digest"))
 
-    def runs_of(r: int):
-        # transform's index form, guarded: sequence(0, negative) would count down
+def _lists(reps: DataFrame) -> DataFrame:
+    """Members of inverted lists with two or more: key, doc, n, members, leader and leader_n."""
+
+    def runs_of(r: int) -> Column:
+        # guarded: sequence(1, negative) would count down
         at = F.when(F.size("sketch") >= r, F.sequence(F.lit(1), F.size("sketch") - (r - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.xxhash64(F.lit(r), *(F.element_at("sketch", i + j) for j in range(r))))
 
@@ -120,66 +119,117 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 48, a
     keys = F.when(F.col("n") <= 5, F.concat(runs_of(2), runs_of(3))).otherwise(runs_of(3))
     posted = reps.select("doc", "n", F.explode(keys).alias("key"))
     counted = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("leader"), F.min_by("n", "doc").alias("leader_n")).where("members > 1")
-    shared = cut(posted.join(counted, "key"))
+    return cut(posted.join(counted, "key"))
 
-    release(docs.sparkSession)
+
+def _first_pairs(shared: DataFrame, percent: int, all_pairs: int) -> DataFrame:
+    """(a, b): all pairs of short lists, and of long ones each member with the least."""
     short = shared.where(F.col("members") <= all_pairs).select("key", "doc", "n")
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     pairs = (
         short.select("key", F.col("doc").alias("a"), F.col("n").alias("na"))
         .join(short.select("key", F.col("doc").alias("b"), F.col("n").alias("nb")), "key")
-        .where((F.col("a") < F.col("b")) & fits("na", "nb"))
+        .where((F.col("a") < F.col("b")) & _fits("na", "nb", percent))
         .select("a", "b")
     )
-    star = shared.where((F.col("members") > all_pairs) & (F.col("doc") > F.col("leader")) & fits("n", "leader_n")).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    tested = cut(pairs.unionByName(star).distinct())
-    # In later rounds a document stands in its smallest long lists only: the two of a pair share about
-    # half of their runs, so that all of the first sixteen differ has odds under 1e-4.
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("key"))
-    long = cut(shared.where(F.col("members") > all_pairs).select("key", "doc", "n", nth.alias("nth")).where(F.col("nth") <= LATER_LISTS).drop("nth"))
-
-    def rate(candidates: DataFrame) -> DataFrame:
-        """Pairs by their sketches: same and union counted, whole if the sketches are the full sets."""
-        side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        both = candidates.join(side("a"), "a").join(side("b"), "b")
-        whole = F.greatest("na", "nb") <= k
-        union = F.array_union("sa", "sb")
-        union = F.when(whole, union).otherwise(F.slice(F.sort_array(union), 1, k))
-        rated = both.withColumn("u", union).select("a", "b", whole.alias("whole"), F.size("u").alias("union"), F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))).alias("same"))
-        sure, likely = F.col("same") * 100 >= F.col("union") * percent, F.col("same") >= F.col("union") * (percent / 100 - margin)
-        return cut(rated.where(F.when(F.col("whole"), sure).otherwise(likely)).select("a", "b", "whole"))
-
-    rated = rate(tested)
+    star = shared.where((F.col("members") > all_pairs) & (F.col("doc") > F.col("leader")) & _fits("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    return cut(pairs.unionByName(star).distinct())
+
+
+def _long_lists(shared: DataFrame, all_pairs: int) -> DataFrame:
+    """Members of long lists, each in its smallest ones, with the number of all its long lists (central).
+
+    The two of a pair share about half of their runs, so that all of the first sixteen differ has odds
+    under 1e-4.
+    """
+    own = Window.partitionBy("doc")
+    long = shared.where(F.col("members") > all_pairs)
+    rows = long.select("key", "doc", "n", F.row_number().over(own.orderBy("key")).alias("nth"), F.count("*").over(own).alias("central"))
+    return cut(rows.where(F.col("nth") <= LATER_LISTS).drop("nth"))
+
+
+def _rare_values(reps: DataFrame, long: DataFrame) -> DataFrame:
+    """(doc, n, value): single retained values of members of long lists that not many of them have."""
+    held = reps.join(long.select("doc").distinct(), "doc", "left_semi").select("doc", "n", F.explode("sketch").alias("value"))
+    rare = held.groupBy("value").agg(F.count("*").alias("members")).where((F.col("members") > 1) & (F.col("members") <= RARE)).select("value")
+    return cut(held.join(rare, "value"))
+
+
+def _rated(candidates: DataFrame, reps: DataFrame, percent: int, k: int, margin: float) -> DataFrame:
+    """(a, b, whole) of candidates that pass by their sketches; whole: the sketches are the full sets, so that is exact."""
+    side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = candidates.join(side("a"), "a").join(side("b"), "b")
+    whole = F.greatest("na", "nb") <= k
+    union = F.array_union("sa", "sb")
+    union = F.when(whole, union).otherwise(F.slice(F.sort_array(union), 1, k))
+    rated = both.withColumn("u", union).select("a", "b", whole.alias("whole"), F.size("u").alias("union"), F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))).alias("same"))
+    sure, likely = F.col("same") * 100 >= F.col("union") * percent, F.col("same") >= F.col("union") * (percent / 100 - margin)
+    return cut(rated.where(F.when(F.col("whole"), sure).otherwise(likely)).select("a", "b", "whole"))
+
+
+def _verified(rated: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    sure = rated.where("whole").select("a", "b")
+    return cut(sure.unionByName(_verify(rated.where("not whole").select("a", "b"), texts, size, percent)).distinct())
+
+
+def _later_pairs(long: DataFrame, few: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(a, b) in different components that a later round compares, of which none was tested before."""
+    found = components(links, "a", "b").select(F.col("node").alias("doc"), "component")
+    placed = cut(long.join(found, "doc", "left").select("key", "doc", "n", "central", F.coalesce("component", "doc").alias("component")))
+    member, order = F.struct("doc", "n", "component"), F.struct("central", "doc")
+    led = placed.groupBy("key").agg(F.max_by(member, order).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "first")
+    mixed = cut(placed.join(led, "key"))
+    second = mixed.where(F.col("component") != F.col("first.component")).groupBy("key").agg(F.max_by(member, order).alias("next"))
+    before = F.lag(member).over(Window.partitionBy("key").orderBy("n", "doc"))
+    own = few.join(found, "doc", "left").select("value", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    mate = own.select(F.col("value").alias("v"), member.alias("other"))
+    apart = (F.col("value") == F.col("v")) & (F.col("doc") < F.col("other.doc")) & (F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)
+    more = None
+    for rows in (mixed.withColumn("other", F.col("first")), mixed.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before), own.join(mate, apart)):
+        pair = rows.where((F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)).select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
+        more = pair if more is None else more.unionByName(pair)
+    return cut(more.distinct().join(tested, ["a", "b"], "left_anti"))
+
+
+def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, all_pairs: int = 24, margin: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(classes, links) of docs(doc_id, text).
+
+    classes: doc_id, n_shingles, rep (smallest doc_id with an equal set; null for empty sets).
+    links: (a, b) between class representatives, all verified over the full sets.
+    """
+    spark = docs.sparkSession
+    sets = cut(sketches(docs.select("doc_id", "text"), size, k).drop("text"))
+    known = sets.where("digest is not null and doc_id is not null")
+    heads = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = sets.join(heads, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    # One row for each class; a digest's sketch and size are the same in all its rows.
+    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("digest"))
+    shared = _lists(reps)
+    release(spark)
+    tested, long = _first_pairs(shared, percent, all_pairs), _long_lists(shared, all_pairs)
+    del shared
+    few = _rare_values(reps, long)
+    rated = _rated(tested, reps, percent, k, margin)
     # The texts that any round may verify, found in one pass over all texts: those of likely pairs,
     # and those that stand in long lists.
     likely = rated.where("not whole")
     wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(long.select(F.col("doc").alias("doc_id"))).distinct()
     texts = cut(docs.select("doc_id", "text").where("doc_id is not null").join(wanted, "doc_id", "left_semi"))
-    release(docs.sparkSession)
-
-    def verified(rated: DataFrame) -> DataFrame:
-        return rated.where("whole").select("a", "b").unionByName(_verify(rated.where("not whole").select("a", "b"), texts, size, percent)).distinct()
-
-    links = cut(verified(rated))
-    # Long lists whose members are still in several components: their least member outside the first
-    # component is compared too, and so on while that links anything.
-    while True:
-        if long.isEmpty():
-            return classes, links
-        found = components(links, "a", "b").select(F.col("node").alias("doc"), "component")
-        placed = cut(long.join(found, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component")))
-        led = placed.groupBy("key").agg(F.min(F.struct("doc", "component")).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", F.col("first.component").alias("gone"))
-        second = placed.join(led, "key").where("component <> gone").groupBy("key").agg(F.min(F.struct("doc", "n", "component")).alias("next"))
-        more = placed.join(second, "key").where(F.col("component") != F.col("next.component")).select(F.least("doc", "next.doc").alias("a"), F.greatest("doc", "next.doc").alias("b"), "n", F.col("next.n").alias("m")).where(fits("n", "m")).select("a", "b").distinct()
-        fresh = cut(more.join(tested, ["a", "b"], "left_anti"))
-        new = cut(verified(rate(fresh)))
-        release(docs.sparkSession)
+    del likely, wanted
+    release(spark)
+    links = _verified(rated, texts, size, percent)
+    release(spark)
+    while not long.isEmpty():
+        fresh = _later_pairs(long, few, links, tested, percent)
+        release(spark)
+        new = _verified(_rated(fresh, reps, percent, k, margin), texts, size, percent)
+        release(spark)
         if new.isEmpty():
-            return classes, links
+            break
         tested, links = cut(tested.unionByName(fresh)), cut(links.unionByName(new))
+    return classes, links
 
 
-def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 48) -> DataFrame:
+def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links, itself included), kept."""
     classes, links = near_links(docs, size, percent, k)
     found = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
