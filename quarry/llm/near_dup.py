@@ -107,8 +107,8 @@ def _fits(x: str, y: str, percent: int) -> Column:
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def _lists(reps: DataFrame) -> DataFrame:
-    """Members of inverted lists with two or more: key, doc, n, members, leader and leader_n."""
+def _lists(reps: DataFrame, all_pairs: int) -> DataFrame:
+    """Members of inverted lists with two or more: key, doc, n, and in long lists the least member as leader."""
 
     def runs_of(r: int) -> Column:
         # guarded: sequence(1, negative) would count down
@@ -118,31 +118,32 @@ def _lists(reps: DataFrame) -> DataFrame:
     # Sets of up to five may share runs of two only; all others share runs of three.
     keys = F.when(F.col("n") <= 5, F.concat(runs_of(2), runs_of(3))).otherwise(runs_of(3))
     posted = reps.select("doc", "n", F.explode(keys).alias("key"))
-    counted = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("leader"), F.min_by("n", "doc").alias("leader_n")).where("members > 1")
-    return cut(posted.join(counted, "key"))
+    counted = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("leader")).where("members > 1")
+    leader = F.when(F.col("members") > all_pairs, F.col("leader")).alias("leader")
+    return cut(posted.join(counted.select("key", leader), "key").select("key", "doc", "n", "leader"))
 
 
-def _first_pairs(shared: DataFrame, percent: int, all_pairs: int) -> DataFrame:
+def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of short lists, and of long ones each member with the least."""
-    short = shared.where(F.col("members") <= all_pairs).select("key", "doc", "n")
+    short = shared.where("leader is null").select("key", "doc", "n")
     pairs = (
         short.select("key", F.col("doc").alias("a"), F.col("n").alias("na"))
         .join(short.select("key", F.col("doc").alias("b"), F.col("n").alias("nb")), "key")
         .where((F.col("a") < F.col("b")) & _fits("na", "nb", percent))
         .select("a", "b")
     )
-    star = shared.where((F.col("members") > all_pairs) & (F.col("doc") > F.col("leader")) & _fits("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    star = shared.where("doc > leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
     return cut(pairs.unionByName(star).distinct())
 
 
-def _long_lists(shared: DataFrame, all_pairs: int) -> DataFrame:
+def _long_lists(shared: DataFrame) -> DataFrame:
     """Members of long lists, each in its smallest ones, with the number of all its long lists (central).
 
     The two of a pair share about half of their runs, so that all of the first sixteen differ has odds
     under 1e-4.
     """
     own = Window.partitionBy("doc")
-    long = shared.where(F.col("members") > all_pairs)
+    long = shared.where("leader is not null")
     rows = long.select("key", "doc", "n", F.row_number().over(own.orderBy("key")).alias("nth"), F.count("*").over(own).alias("central"))
     return cut(rows.where(F.col("nth") <= LATER_LISTS).drop("nth"))
 
@@ -157,7 +158,7 @@ def _rare_values(reps: DataFrame, long: DataFrame) -> DataFrame:
 def _rated(candidates: DataFrame, reps: DataFrame, percent: int, k: int, margin: float) -> DataFrame:
     """(a, b, whole) of candidates that pass by their sketches; whole: the sketches are the full sets, so that is exact."""
     side = lambda c: reps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    both = candidates.join(side("a"), "a").join(side("b"), "b")
+    both = candidates.join(side("a"), "a").join(side("b"), "b").where(_fits("na", "nb", percent))
     whole = F.greatest("na", "nb") <= k
     union = F.array_union("sa", "sb")
     union = F.when(whole, union).otherwise(F.slice(F.sort_array(union), 1, k))
@@ -200,13 +201,15 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, a
     sets = cut(sketches(docs.select("doc_id", "text"), size, k).drop("text"))
     known = sets.where("digest is not null and doc_id is not null")
     heads = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = sets.join(heads, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    classes = cut(sets.join(heads, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
     # One row for each class; a digest's sketch and size are the same in all its rows.
     reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("digest"))
-    shared = _lists(reps)
+    del sets, known, heads
+    shared = _lists(reps, all_pairs)
     release(spark)
-    tested, long = _first_pairs(shared, percent, all_pairs), _long_lists(shared, all_pairs)
+    tested, long = _first_pairs(shared, percent), _long_lists(shared)
     del shared
+    release(spark)
     few = _rare_values(reps, long)
     rated = _rated(tested, reps, percent, k, margin)
     # The texts that any round may verify, found in one pass over all texts: those of likely pairs,
