@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -47,7 +48,20 @@ def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator
         if conf.get(key, default).rstrip("b") == default:
             conf.set(key, ours)
     send_source(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Give what a task has freed back to the system: a worker waits for its next task as small as it can."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
 
 
 def release(spark: SparkSession) -> None:

@@ -40,7 +40,7 @@ def letter_table() -> np.ndarray:
     """Symbol of every code point: 1..26 for a..z, 27..39 for other letters, 0 for the rest."""
     if "letters" not in _tables:
         table = np.zeros(0x110000, np.uint8)
-        table[0x80:] = [27 + (c * 2_654_435_761 >> 16) % 13 if chr(c).isalpha() else 0 for c in range(0x80, 0x110000)]
+        table[0x80:] = np.fromiter((27 + (c * 2_654_435_761 >> 16) % 13 if chr(c).isalpha() else 0 for c in range(0x80, 0x110000)), np.uint8, 0x110000 - 0x80)
         for c in range(26):
             table[ord("a") + c] = table[ord("A") + c] = c + 1
         for c in range(0x80, 0x24F):  # Latin capitals as their small letters
