@@ -7,10 +7,11 @@ at most a fifth of their union's values break runs, so for sets that the sketch
 of three is always common (a run of two for sets of up to five), and for longer ones all but
 certainly (a miss has odds under 1e-9 at 64 retained values). Lists of up to ``all_pairs`` members
 give all their pairs; longer ones give each member's pair with the list's least member, and then, among
-members that are not yet linked, pairs with its most central members, between neighbours by size, and
-by single retained values that up to ``RARE`` of them have, until a round links nothing new.
-Two documents that share only long lists and are alike are both like a central one, or near in size,
-or share what most of the others do not have. Union sketches estimate each pair, and exact Jaccard over the full sets verifies it.
+members that are not yet linked, pairs with its most central members and between neighbours by size,
+until a round links nothing new. Those rounds only join most of a family cheaply. What is left between
+different components is then searched whole: all members of long lists that share a shingle in their
+prefixes (full sets, rarest shingles first: two sets as alike as asked must share one there) and whose
+sizes and places of that shingle allow it. Union sketches estimate each pair, and exact Jaccard over the full sets verifies it.
 
 Edge cases: a null or empty text, or one of white space only, has an empty set and no links. Rows
 that repeat a doc_id are each judged by their own text. A null doc_id is never linked; its component is null and the row
@@ -32,10 +33,8 @@ from . import words as W
 from .common import annotate, arrow, blocks, cut, lists, release
 from .components import components
 
-#: Long lists in which a document stands after the first round.
-LATER_LISTS = 16
-#: Members of long lists that all meet by a single retained value, at most.
-RARE = 200
+#: Members of a prefix list that one part of it holds; other components' members go to every part.
+PART = 256
 
 FIELDS = [
     ("n_shingles", T.LongType(), pa.int64()),
@@ -137,22 +136,50 @@ def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _long_lists(shared: DataFrame) -> DataFrame:
-    """Members of long lists, each in its smallest ones, with the number of all its long lists (central).
+    """Members of long lists, each with the number of all its long lists (central)."""
+    own = Window.partitionBy("doc")
+    return cut(shared.where("leader is not null").select("key", "doc", "n", F.count("*").over(own).alias("central")))
+
+
+def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(shingle, doc, n, place): the shingles that two or more texts have, at their places in each set's prefix.
 
-    The two of a pair share about half of their runs, so that all of the first sixteen differ has odds
-    under 1e-4.
+    Places count from 1 in order of (number of texts, shingle) over the full set. Sets of n that are as
+    alike as asked share one of their first n - ceil(percent * n / 100) + 1.
     """
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for row, _, data, offsets in blocks(batch, "text"):
+                for i, s in enumerate(shingle_sets(data, offsets, size)):
+                    made = [np.full(len(s), ids[row + i].as_py(), np.int64), np.full(len(s), len(s), np.int64), s.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["doc", "n", "shingle"])
+
+    held = arrow(texts.select("doc_id", "text"), run, "doc long, n long, shingle long")
+    counted = held.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1")
     own = Window.partitionBy("doc")
-    long = shared.where("leader is not null")
-    rows = long.select("key", "doc", "n", F.row_number().over(own.orderBy("key")).alias("nth"), F.count("*").over(own).alias("central"))
-    return cut(rows.where(F.col("nth") <= LATER_LISTS).drop("nth"))
+    # A shingle of one text stands before all others and pairs nothing: only its place counts.
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("members", "shingle"))
+    rows = held.join(counted, "shingle").select("shingle", "doc", "n", place.alias("place"))
+    return cut(rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1))
 
 
-def _rare_values(reps: DataFrame, long: DataFrame) -> DataFrame:
-    """(doc, n, value): single retained values of members of long lists that not many of them have."""
-    held = reps.join(long.select("doc").distinct(), "doc", "left_semi").select("doc", "n", F.explode("sketch").alias("value"))
-    rare = held.groupBy("value").agg(F.count("*").alias("members")).where((F.col("members") > 1) & (F.col("members") <= RARE)).select("value")
-    return cut(held.join(rare, "value"))
+def _rest(prefixes: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of different components that its prefixes allow, of which none was tested before."""
+    found = components(links, "a", "b").select(F.col("node").alias("doc"), "component")
+    placed = cut(prefixes.join(found, "doc", "left").select("shingle", "doc", "n", "place", F.coalesce("component", "doc").alias("component")))
+    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("members"))
+    lists = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.sum("members").alias("members"), F.count("*").alias("parts"))
+    mixed = cut(placed.join(lists.where("parts > 1").select("shingle", "main", F.ceil(F.col("members") / PART).alias("parts")), "shingle"))
+    # A pair within the main component needs no test, so one of each pair is outside of it.
+    outside = mixed.where("component <> main").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "place", "component")))
+    every = mixed.select("shingle", F.pmod(F.xxhash64("doc"), "parts").alias("part"), "doc", "n", "place", "component", (F.col("component") == F.col("main")).alias("within"))
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n") - F.col("place")) + 1
+    allowed = rest * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent
+    once = F.col("within") | (F.col("doc_a") < F.col("doc"))
+    pairs = outside.join(every, ["shingle", "part"]).where((F.col("component_a") != F.col("component")) & once & _fits("n_a", "n", percent) & allowed)
+    return cut(pairs.select(F.least("doc_a", "doc").alias("a"), F.greatest("doc_a", "doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
 
 
 def _rated(candidates: DataFrame, reps: DataFrame, percent: int, k: int, margin: float) -> DataFrame:
@@ -172,7 +199,7 @@ def _verified(rated: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return cut(sure.unionByName(_verify(rated.where("not whole").select("a", "b"), texts, size, percent)).distinct())
 
 
-def _later_pairs(long: DataFrame, few: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def _later_pairs(long: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """(a, b) in different components that a later round compares, of which none was tested before."""
     found = components(links, "a", "b").select(F.col("node").alias("doc"), "component")
     placed = cut(long.join(found, "doc", "left").select("key", "doc", "n", "central", F.coalesce("component", "doc").alias("component")))
@@ -181,11 +208,8 @@ def _later_pairs(long: DataFrame, few: DataFrame, links: DataFrame, tested: Data
     mixed = cut(placed.join(led, "key"))
     second = mixed.where(F.col("component") != F.col("first.component")).groupBy("key").agg(F.max_by(member, order).alias("next"))
     before = F.lag(member).over(Window.partitionBy("key").orderBy("n", "doc"))
-    own = few.join(found, "doc", "left").select("value", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    mate = own.select(F.col("value").alias("v"), member.alias("other"))
-    apart = (F.col("value") == F.col("v")) & (F.col("doc") < F.col("other.doc")) & (F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)
     more = None
-    for rows in (mixed.withColumn("other", F.col("first")), mixed.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before), own.join(mate, apart)):
+    for rows in (mixed.withColumn("other", F.col("first")), mixed.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before)):
         pair = rows.where((F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)).select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
         more = pair if more is None else more.unionByName(pair)
     return cut(more.distinct().join(tested, ["a", "b"], "left_anti"))
@@ -210,7 +234,6 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, a
     tested, long = _first_pairs(shared, percent), _long_lists(shared)
     del shared
     release(spark)
-    few = _rare_values(reps, long)
     rated = _rated(tested, reps, percent, k, margin)
     # The texts that any round may verify, found in one pass over all texts: those of likely pairs,
     # and those that stand in long lists.
@@ -222,13 +245,20 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, a
     links = _verified(rated, texts, size, percent)
     release(spark)
     while not long.isEmpty():
-        fresh = _later_pairs(long, few, links, tested, percent)
+        fresh = _later_pairs(long, links, tested, percent)
         release(spark)
         new = _verified(_rated(fresh, reps, percent, k, margin), texts, size, percent)
         release(spark)
         if new.isEmpty():
             break
         tested, links = cut(tested.unionByName(fresh)), cut(links.unionByName(new))
+    if not long.isEmpty():
+        prefixes = _prefixes(texts.join(long.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), size, percent)
+        release(spark)
+        rest = _rest(prefixes, links, tested, percent)
+        del prefixes
+        release(spark)
+        links = cut(links.unionByName(_verified(_rated(rest, reps, percent, k, margin), texts, size, percent)))
     return classes, links
 
 

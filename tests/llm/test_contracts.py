@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,26 @@ def test_op2_large_groups_of_copies(spark):
     assert len(set(want.values())) > 50
 
 
+def test_op2_pair_within_long_lists_only(spark):
+    """Two alike members of long lists that are unlike the central ones, not near in size, and share common words only."""
+    hashed = lambda w: int(next(near_dup.shingle_sets(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), 1))[0])
+    words = [f"w{j}" for j in range(12000)]
+    later = iter([w for w in words if hashed(w) >= 1 << 62])  # after the core in order of hashes, so that they break no run of it
+    inner = [w for w in words if hashed(w) < 1 << 62]
+    core = inner[:30]
+    more = lambda n: list(itertools.islice(later, n))
+    made = [core + more(14) for _ in range(205)]
+    for n in range(150):  # between the two in size
+        made.append(sorted(core, key=lambda w: hashlib.md5(f"{n} {w}".encode()).digest())[:18] + more(15))
+    made += [core + more(20), core + more(20)]  # in all lists
+    made += [core + inner[30:32], core + inner[32:36]]
+    texts = [(n, " ".join(w)) for n, w in enumerate(made)]
+    want = plain_components(plain_sets(texts, 1))
+    assert want[len(texts) - 1] == len(texts) - 2
+    got = near_dup.near_dup(spark.createDataFrame(texts, "doc_id long, text string"), size=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_op3_counts(spark, odd, real):
     labels = table(spark, SF, "labels")
     for df, rows in both(odd, real):
