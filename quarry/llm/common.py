@@ -25,17 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, each: int = 100_000) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, local
-    runs) a temporary folder of the driver is used.
+    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, in local mode
+    (tests), a temporary folder of the driver is used. ``rows`` is about how many rows there are:
+    a file then holds ``each`` of them, so that a small table isn't as many files as the shuffle has
+    partitions. Where that would be more files than partitions, nothing changes.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-"))
+    return (df if rows is None else df.coalesce(1 + rows // each)).checkpoint()
 
 
 def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:

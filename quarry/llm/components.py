@@ -30,10 +30,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Every step groups by node with partial sums only, so a hub of any degree is no single group;
     the number of steps grows with the logarithm of the longest path. Unlinked nodes have no row.
     """
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    edges = cut(edges, links.count())
     state = _state(edges)
     while state[0]:
-        edges = cut(_step(edges))
+        # Never more rows than two for each edge.
+        edges = cut(_step(edges), 2 * state[0])
         release(edges.sparkSession)
         before, state = state, _state(edges)
         if state == before:

@@ -35,6 +35,8 @@ from .components import components
 
 #: Members of a prefix list that one part of it holds; other components' members go to every part.
 PART = 256
+#: Members of a list that one window over sizes holds.
+RUN = 1000
 
 FIELDS = [
     ("n_shingles", T.LongType(), pa.int64()),
@@ -119,7 +121,7 @@ def _lists(reps: DataFrame, all_pairs: int) -> DataFrame:
     posted = reps.select("doc", "n", F.explode(keys).alias("key"))
     counted = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("leader")).where("members > 1")
     leader = F.when(F.col("members") > all_pairs, F.col("leader")).alias("leader")
-    return cut(posted.join(counted.select("key", leader), "key").select("key", "doc", "n", "leader"))
+    return posted.join(counted.select("key", leader), "key").select("key", "doc", "n", "leader")
 
 
 def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
@@ -132,13 +134,13 @@ def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
         .select("a", "b")
     )
     star = shared.where("doc > leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    return cut(pairs.unionByName(star).distinct())
+    return pairs.unionByName(star).distinct()
 
 
 def _long_lists(shared: DataFrame) -> DataFrame:
     """Members of long lists, each with the number of all its long lists (central)."""
     own = Window.partitionBy("doc")
-    return cut(shared.where("leader is not null").select("key", "doc", "n", F.count("*").over(own).alias("central")))
+    return shared.where("leader is not null").select("key", "doc", "n", F.count("*").over(own).alias("central"))
 
 
 def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -162,16 +164,16 @@ def _prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     # A shingle of one text stands before all others and pairs nothing: only its place counts.
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("members", "shingle"))
     rows = held.join(counted, "shingle").select("shingle", "doc", "n", place.alias("place"))
-    return cut(rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1))
+    return rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1)
 
 
-def _rest(prefixes: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def _rest(prefixes: DataFrame, found: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair of different components that its prefixes allow, of which none was tested before."""
-    found = components(links, "a", "b").select(F.col("node").alias("doc"), "component")
-    placed = cut(prefixes.join(found, "doc", "left").select("shingle", "doc", "n", "place", F.coalesce("component", "doc").alias("component")))
+    rows = prefixes.count()
+    placed = cut(prefixes.join(found, "doc", "left").select("shingle", "doc", "n", "place", F.coalesce("component", "doc").alias("component")), rows)
     sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("members"))
     lists = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.sum("members").alias("members"), F.count("*").alias("parts"))
-    mixed = cut(placed.join(lists.where("parts > 1").select("shingle", "main", F.ceil(F.col("members") / PART).alias("parts")), "shingle"))
+    mixed = cut(placed.join(lists.where("parts > 1").select("shingle", "main", F.ceil(F.col("members") / PART).alias("parts")), "shingle"), rows)
     # A pair within the main component needs no test, so one of each pair is outside of it.
     outside = mixed.where("component <> main").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "place", "component")))
     every = mixed.select("shingle", F.pmod(F.xxhash64("doc"), "parts").alias("part"), "doc", "n", "place", "component", (F.col("component") == F.col("main")).alias("within"))
@@ -179,7 +181,7 @@ def _rest(prefixes: DataFrame, links: DataFrame, tested: DataFrame, percent: int
     allowed = rest * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent
     once = F.col("within") | (F.col("doc_a") < F.col("doc"))
     pairs = outside.join(every, ["shingle", "part"]).where((F.col("component_a") != F.col("component")) & once & _fits("n_a", "n", percent) & allowed)
-    return cut(pairs.select(F.least("doc_a", "doc").alias("a"), F.greatest("doc_a", "doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    return cut(pairs.select(F.least("doc_a", "doc").alias("a"), F.greatest("doc_a", "doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), rows)
 
 
 def _rated(candidates: DataFrame, reps: DataFrame, percent: int, k: int, margin: float) -> DataFrame:
@@ -191,47 +193,52 @@ def _rated(candidates: DataFrame, reps: DataFrame, percent: int, k: int, margin:
     union = F.when(whole, union).otherwise(F.slice(F.sort_array(union), 1, k))
     rated = both.withColumn("u", union).select("a", "b", whole.alias("whole"), F.size("u").alias("union"), F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))).alias("same"))
     sure, likely = F.col("same") * 100 >= F.col("union") * percent, F.col("same") >= F.col("union") * (percent / 100 - margin)
-    return cut(rated.where(F.when(F.col("whole"), sure).otherwise(likely)).select("a", "b", "whole"))
+    return cut(rated.where(F.when(F.col("whole"), sure).otherwise(likely)).select("a", "b", "whole"), candidates.count(), 10_000)
 
 
 def _verified(rated: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     sure = rated.where("whole").select("a", "b")
-    return cut(sure.unionByName(_verify(rated.where("not whole").select("a", "b"), texts, size, percent)).distinct())
+    return cut(sure.unionByName(_verify(rated.where("not whole").select("a", "b"), texts, size, percent)).distinct(), rated.count(), 5_000)
 
 
-def _later_pairs(long: DataFrame, links: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """(a, b) in different components that a later round compares, of which none was tested before."""
+def _found(links: DataFrame) -> DataFrame:
+    """(doc, component) of all linked documents."""
     found = components(links, "a", "b").select(F.col("node").alias("doc"), "component")
-    placed = cut(long.join(found, "doc", "left").select("key", "doc", "n", "central", F.coalesce("component", "doc").alias("component")))
+    return cut(found, 2 * links.count())
+
+
+def _later_pairs(long: DataFrame, found: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(a, b) in different components that a later round compares, of which none was tested before."""
+    rows = long.count()
+    placed = cut(long.join(found, "doc", "left").select("key", "doc", "n", "central", F.coalesce("component", "doc").alias("component")), rows)
     member, order = F.struct("doc", "n", "component"), F.struct("central", "doc")
-    led = placed.groupBy("key").agg(F.max_by(member, order).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "first")
-    mixed = cut(placed.join(led, "key"))
+    led = placed.groupBy("key").agg(F.max_by(member, order).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "first", F.ceil(F.col("members") / RUN).alias("parts"))
+    mixed = cut(placed.join(led, "key"), rows)
     second = mixed.where(F.col("component") != F.col("first.component")).groupBy("key").agg(F.max_by(member, order).alias("next"))
-    before = F.lag(member).over(Window.partitionBy("key").orderBy("n", "doc"))
+    # Neighbours by size within parts of a list, so that a list of any length is no single window.
+    before = F.lag(member).over(Window.partitionBy("key", F.pmod(F.xxhash64("doc"), "parts")).orderBy("n", "doc"))
     more = None
-    for rows in (mixed.withColumn("other", F.col("first")), mixed.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before)):
-        pair = rows.where((F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)).select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
+    for rated in (mixed.withColumn("other", F.col("first")), mixed.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before)):
+        pair = rated.where((F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)).select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
         more = pair if more is None else more.unionByName(pair)
-    return cut(more.distinct().join(tested, ["a", "b"], "left_anti"))
+    return cut(more.distinct().join(tested, ["a", "b"], "left_anti"), rows)
 
 
-def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, all_pairs: int = 24, margin: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """(classes, links) of docs(doc_id, text).
-
-    classes: doc_id, n_shingles, rep (smallest doc_id with an equal set; null for empty sets).
-    links: (a, b) between class representatives, all verified over the full sets.
-    """
+def _search(docs: DataFrame, size: int, percent: int, k: int, all_pairs: int, margin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, found) of docs(doc_id, text); found: (doc, component) of linked class representatives."""
     spark = docs.sparkSession
     sets = cut(sketches(docs.select("doc_id", "text"), size, k).drop("text"))
     known = sets.where("digest is not null and doc_id is not null")
+    total = known.count()
     heads = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = cut(sets.join(heads, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
+    classes = cut(sets.join(heads, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), total)
     # One row for each class; a digest's sketch and size are the same in all its rows.
-    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("digest"))
+    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("digest"), total, 8_000)
     del sets, known, heads
-    shared = _lists(reps, all_pairs)
+    shared = cut(_lists(reps, all_pairs), total, 8_000)
     release(spark)
-    tested, long = _first_pairs(shared, percent), _long_lists(shared)
+    rows = shared.count()
+    tested, long = cut(_first_pairs(shared, percent), rows), cut(_long_lists(shared), rows)
     del shared
     release(spark)
     rated = _rated(tested, reps, percent, k, margin)
@@ -239,35 +246,48 @@ def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, a
     # and those that stand in long lists.
     likely = rated.where("not whole")
     wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).unionByName(long.select(F.col("doc").alias("doc_id"))).distinct()
-    texts = cut(docs.select("doc_id", "text").where("doc_id is not null").join(wanted, "doc_id", "left_semi"))
+    texts = cut(docs.select("doc_id", "text").where("doc_id is not null").join(wanted, "doc_id", "left_semi"), total, 8_000)
     del likely, wanted
     release(spark)
     links = _verified(rated, texts, size, percent)
-    release(spark)
-    while not long.isEmpty():
-        fresh = _later_pairs(long, links, tested, percent)
-        release(spark)
+    found = _found(links)
+    if long.isEmpty():
+        return classes, links, found
+    while True:
+        fresh = _later_pairs(long, found, tested, percent)
         new = _verified(_rated(fresh, reps, percent, k, margin), texts, size, percent)
         release(spark)
+        tested = tested.unionByName(fresh)
         if new.isEmpty():
             break
-        tested, links = cut(tested.unionByName(fresh)), cut(links.unionByName(new))
-    if not long.isEmpty():
-        prefixes = _prefixes(texts.join(long.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), size, percent)
-        release(spark)
-        rest = _rest(prefixes, links, tested, percent)
-        del prefixes
-        release(spark)
-        links = cut(links.unionByName(_verified(_rated(rest, reps, percent, k, margin), texts, size, percent)))
-    return classes, links
+        links = links.unionByName(new)
+        found = _found(links)
+    held = texts.join(long.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    prefixes = cut(_prefixes(held, size, percent), total, 8_000)
+    release(spark)
+    rest = _rest(prefixes, found, tested, percent)
+    new = _verified(_rated(rest, reps, percent, k, margin), texts, size, percent)
+    release(spark)
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        found = _found(links)
+    return classes, links, found
+
+
+def near_links(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, all_pairs: int = 24, margin: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(classes, links) of docs(doc_id, text).
+
+    classes: doc_id, n_shingles, rep (smallest doc_id with an equal set; null for empty sets).
+    links: (a, b) between class representatives, all verified over the full sets.
+    """
+    return _search(docs, size, percent, k, all_pairs, margin)[:2]
 
 
-def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
+def near_dup(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, all_pairs: int = 24, margin: float = 0.3) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links, itself included), kept."""
-    classes, links = near_links(docs, size, percent, k)
-    found = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+    classes, _, found = _search(docs, size, percent, k, all_pairs, margin)
     component = F.coalesce("component", "rep", "doc_id")
-    return classes.join(found, "rep", "left").select(
+    return classes.join(found, classes["rep"] == found["doc"], "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
