@@ -218,7 +218,9 @@ def _later_pairs(long: DataFrame, found: DataFrame, tested: DataFrame, percent:
     # Neighbours by size within parts of a list, so that a list of any length is no single window.
     before = F.lag(member).over(Window.partitionBy("key", F.pmod(F.xxhash64("doc"), "parts")).orderBy("n", "doc"))
     more = None
-    for rated in (mixed.withColumn("other", F.col("first")), mixed.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before)):
+    # Only members outside the first one's component meet the second: the others would all be compared with one document.
+    outside = mixed.where(F.col("component") != F.col("first.component"))
+    for rated in (outside.withColumn("other", F.col("first")), outside.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before)):
         pair = rated.where((F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)).select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
         more = pair if more is None else more.unionByName(pair)
     return cut(more.distinct().join(tested, ["a", "b"], "left_anti"), rows)
