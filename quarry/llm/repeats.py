@@ -17,7 +17,8 @@ row that share it (about 32).
 Pass 1 and 2 are one shuffle of some 30 bytes for each anchor; each task first folds spans that it
 meets twice itself, so groups of copies shrink before the shuffle. Groups of equal digits are never
 collected: they are ranked by sorted windows that spill. Digits of spans are 64-bit hashes beside
-that of their gram or common part, so two of them tell spans apart; pass 4 uses two as well.
+that of their gram or common part, so two of them tell spans apart, also where a task folds its own;
+pass 4 uses two as well.
 
 Edge cases: a null or empty text has no bytes and gives zeros and the digest of no bytes. Texts
 shorter than ``width`` lose nothing. Rows that repeat a doc_id are the same document, so neither is
@@ -39,6 +40,8 @@ from .common import annotate, arrow, blocks, cut, release
 #: Grams compared for a window's anchor: a power of two, for a sliding minimum by doubling.
 SPAN = 64
 U = np.uint64
+#: Bits of a place within a stretch, and windows of a stretch.
+PLACE_BITS, STRETCH = 24, 1 << 23
 #: Anchors that a task folds at once.
 FOLD = 400_000
 #: Windows of a quarter of an anchor's span.
@@ -47,23 +50,34 @@ ANCHORS = "gram long, seg long, doc_id long, lo int, hi int, at int"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, ranges: W.Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor) of every maximal row of windows that share an anchor."""
-    gram, n = width - SPAN + 1, len(data)
-    lengths = np.diff(offsets)
-    if n < width or lengths.max() < width:
+    """(first window, last window, anchor) of every maximal row of windows that share an anchor.
+
+    Which gram is a window's smallest depends on nothing but the window: hashes are compared through
+    the same upper bits in blocks of any size, and longer texts are looked at in overlapping stretches.
+    """
+    if len(offsets) < 2 or len(data) < width or np.diff(offsets).max() < width:
         none = np.empty(0, np.int64)
         return none, none, none
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    found = [_anchors(c, min(c + STRETCH + width - 1, len(data)), ends, width, ranges) for c in range(0, len(data) - width + 1, STRETCH)]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _anchors(low: int, high: int, ends: np.ndarray, width: int, ranges: W.Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the windows within bytes low to high."""
+    gram, n = width - SPAN + 1, high - low
     at = np.arange(n - gram + 1)
-    bits = U(max(1, int(n).bit_length()))
-    low = (U(1) << bits) - U(1)
-    least = (ranges(at, at + gram) & ~low) | at.astype(np.uint64)
+    place = U((1 << PLACE_BITS) - 1)
+    least = (ranges(at + low, at + low + gram) & ~place) | at.astype(np.uint64)
     step = 1
     while step < SPAN:
         least = np.minimum(least[:-step], least[step:])
         step *= 2
-    windows = np.arange(len(least))
-    whole = windows + width <= np.repeat(offsets[1:], lengths)[: len(least)]
-    windows, anchor = windows[whole], (least[whole] & low).astype(np.int64)
+    windows = np.arange(low, low + len(least))
+    whole = windows + width <= ends[low : low + len(least)]
+    windows, anchor = windows[whole], (least[whole] & place).astype(np.int64) + low
+    if not len(windows):
+        return windows, windows, windows
     change = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
     first, last = np.concatenate([[0], change]), np.concatenate([change - 1, [len(windows) - 1]])
     return windows[first], windows[last], anchor[first]
@@ -72,13 +86,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, ranges: W.Ranges)
 def _folded(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Anchors' rows; of equal spans among them only the first goes on, later ones repeat whole."""
     gram, seg, doc, lo, hi, at = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((lo, doc))
-    key = W.combine(gram, seg)[order]
-    order = order[np.argsort(key, kind="stable")]
-    key = np.sort(key)
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = key[1:] != key[:-1]
-    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))] if len(key) else order
+    order = np.lexsort((lo, doc, gram, seg))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (gram[order][1:] != gram[order][:-1]) | (seg[order][1:] != seg[order][:-1])
+    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
     same = (doc[order] == doc[head]) & (lo[order] == lo[head])  # repeated rows of one document
     done = order[~fresh & ~same]
     goes = order[fresh]
