@@ -3,31 +3,30 @@
 A host's names are segmented into words by a unigram Viterbi: the split whose words' log
 probabilities add up to most, where a word unknown to the counts pays for its length. The counts are
 those of all path tokens of the table (hosts would teach the very names that are to be split) and a
-short list of common web words. A multinomial
-naive Bayes over the words of host and path, with add-one smoothing, then gives the verdict. It
-learns from the URLs that a rule decides and from the list of cue words; its counts cover all rows.
-
-Both counts are aggregated on the executors; of words only the ``VOCABULARY`` most frequent reach the
-driver (a bounded vocabulary, ties by word; words outside it count as unknown, as in any unigram
-model). Hosts are segmented once for each distinct host of a batch.
-
-Edge cases: a null url, or one without `://`, has an empty host and path, no rule, and the prior's
-verdict (allow where the two classes are even). Hosts keep their port and user part. Repeated rows
-get equal results.
+short list of common web words. A multinomial naive Bayes over the words of host and path, with
+add-one smoothing and the classes' own shares, then gives the verdict. It learns from the URLs that a
+rule decides and from the list of cue words; its counts cover all rows.
+
+Counts, odds and segmented names are tables, whole, and never on the driver. Each distinct name of a
+host meets the counts of its own substrings, of up to LONGEST letters, by a join, and is split with
+those alone: no other count can change its best split. Each distinct host, and each distinct path
+with its numbers as one word, is scored once, and pages join both.
+
+Edge cases: a null url, or one without `://`, has an empty host and path, no rule, and the verdict of
+the classes' shares (allow where they are even). Hosts keep their port and user part. Repeated rows
+get equal results. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, cut
 
 # The rules, each a verdict and a host with the beginning of a path.
 RULES = (
@@ -43,9 +42,8 @@ CUES = {
     "block": "spam farm casino poker bet loan cheap pill adult porn sex xxx crack warez torrent".split(),
     "allow": "blog news wiki docs help support school learn health travel book music code".split(),
 }
-VOCABULARY = 50_000
-#: Longest word that segmentation tries; a longer unknown stretch is split by the same rule.
-LONGEST = 20
+#: Fixed value: the most letters that a name between two dots of a host can have.
+LONGEST = 63
 #: How often a word of the fixed list counts.
 CUE_WEIGHT = 5
 
@@ -80,13 +78,12 @@ def _tokens(text: Column) -> Column:
 class Segmenter:
     """Unigram Viterbi over letters."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.log = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(1 / (10 * total))
-        self.words = lru_cache(100_000)(self._words)
 
-    def _words(self, name: str) -> tuple[str, ...]:
+    def words(self, name: str) -> tuple[str, ...]:
         best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
             for start in range(max(0, end - LONGEST), end):
@@ -102,74 +99,87 @@ class Segmenter:
         return tuple(out[::-1])
 
 
-def words(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    """Segmented words of a host (but its last label) and words of a path; numbers are one word."""
-    names = re.findall("[a-z]+|[0-9]+", host)
-    out = []
-    for name in names[:-1] if len(names) > 1 else names:
-        out += ["0"] if name[0].isdigit() else segmenter.words(name)
-    out += [f"host:{names[-1]}"] if names else []
-    return out + [f"path:{'0' if t[0].isdigit() else t}" for t in re.findall("[a-z]+|[0-9]+", path.lower())]
-
+def unigrams(paths: DataFrame) -> DataFrame:
+    """(word, n): counts of the letter tokens of all paths, and of the fixed list."""
+    tokens = paths.select(F.explode(_tokens(F.col("path"))).alias("word"), "n").where("word rlike '^[a-z]'")
+    counts = tokens.groupBy("word").agg(F.sum("n").alias("n"))
+    lifted = paths.sparkSession.createDataFrame([(w,) for w in WEB_WORDS], "word string").crossJoin(counts.agg(F.greatest(F.lit(1), F.floor(F.coalesce(F.max("n"), F.lit(1)) / 4)).alias("n")))
+    return cut(counts.unionByName(lifted).groupBy("word").agg(F.sum("n").alias("n")))
 
-def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the letter tokens of all paths, of the most frequent ones, and the fixed list."""
-    tokens = pages.select(F.explode(_tokens(parts(F.col("url"))[1])).alias("word")).where("word rlike '^[a-z]'")
-    most = tokens.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    counts = {r.word: r.n for r in most}
-    top = max(counts.values(), default=1)
-    for w in WEB_WORDS:
-        counts[w] = counts.get(w, 0) + max(1, top // 4)
-    return counts
 
-
-def learn(pages: DataFrame, counts: dict[str, int], vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """Naive Bayes: log odds of block against allow for each word; the two classes are taken as even."""
-    host, path = parts(F.col("url"))
-    verdicts = dict((rule, verdict) for verdict, rule in RULES)
-    decided = pages.select(host.alias("host"), path.alias("path"), rule_of(host, path).alias("rule")).where("rule is not null")
-    decided = decided.select("host", "path", F.element_at(F.create_map(*(F.lit(x) for p in verdicts.items() for x in p)), F.col("rule")).alias("verdict"))
-    # Rows with the same words count together before they go to Python.
-    shaped = decided.withColumn("path", F.regexp_replace("path", "[0-9]+", "0")).groupBy("host", "path", "verdict").agg(F.count("*").alias("n"))
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, words) of distinct names(name), each with the counts of its own substrings."""
+    size = F.length("name")
+    spans = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.substring("name", i, n)))
+    parts = names.select("name", F.explode(F.array_distinct(F.flatten(spans))).alias("word"))
+    known = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    total = counts.agg(F.sum("n").alias("total"))
+    rows = names.join(known, "name", "left").crossJoin(F.broadcast(total))
 
     def make():
-        segmenter = Segmenter(counts)
-
         def work(batch):
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path")]
-            return [[words(segmenter, h, p) for h, p in zip(*columns)]]
+            name, known, total = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("name", "known", "total"))
+            return [[Segmenter({x["word"]: x["n"] for x in k or ()}, t).words(w) for w, k, t in zip(name, known, total)]]
 
         return work
 
-    listed = annotate(shaped, [("words", T.ArrayType(T.StringType()), pa.list_(pa.string()))], make)
-    sums = listed.select("verdict", "n", F.explode("words").alias("word")).groupBy("word").pivot("verdict", ["allow", "block"]).agg(F.sum("n"))
-    rows = sums.na.fill(0).orderBy(F.desc(F.col("allow") + F.col("block")), "word").limit(vocabulary).collect()
-    count = {v: {r["word"]: r[v] for r in rows if r[v]} for v in ("allow", "block")}
-    for v, cues in CUES.items():
-        for w in cues:
-            count[v][w] = count[v].get(w, 0) + CUE_WEIGHT
-    known = set(count["allow"]) | set(count["block"])
-    total = {v: sum(c.values()) + len(known) + 1 for v, c in count.items()}
-    return {w: math.log((count["block"].get(w, 0) + 1) / total["block"]) - math.log((count["allow"].get(w, 0) + 1) / total["allow"]) for w in known}
+    return annotate(rows, [("words", T.ArrayType(T.StringType()), pa.list_(pa.string()))], make).select("name", "words")
 
 
-def filter_urls(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict and score (log odds of block by the method) of each page."""
-    rows = pages.select("page_id", "url")
-    counts = unigrams(rows)
-    odds = learn(rows, counts)
-    verdicts = dict((rule, verdict) for verdict, rule in RULES)
-    host, path = parts(F.col("url"))
-    placed = rows.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path).alias("rule"))
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words): segmented names of each distinct host but its last, numbers as one word, and the last as it is."""
+    names = hosts.select("host", F.posexplode(_tokens(F.col("host"))).alias("at", "name"), F.size(_tokens(F.col("host"))).alias("of"))
+    split = segmented(names.where("name rlike '^[a-z]'").select("name").distinct(), counts)
+    last = F.when(F.col("at") == F.col("of") - 1, F.array(F.concat(F.lit("host:"), "name"))).otherwise(F.array().cast("array<string>"))
+    inner = F.when((F.col("at") < F.col("of") - 1) | (F.col("of") == 1), F.coalesce("words", F.array(F.lit("0")))).otherwise(F.array().cast("array<string>"))
+    listed = names.join(split, "name", "left").select("host", "at", F.concat(inner, last).alias("words"))
+    gathered = listed.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
+    return cut(hosts.join(gathered, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words")))
 
-    def make():
-        segmenter = Segmenter(counts)
 
-        def work(batch):
-            host, path, rule = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path", "rule"))
-            scores = [sum(odds.get(w, 0.0) for w in words(segmenter, h, p)) for h, p in zip(host, path)]
-            return [[verdicts[r] if r else "block" if s > 0 else "allow" for r, s in zip(rule, scores)], scores]
+def path_words(path: Column) -> Column:
+    return F.transform(_tokens(path), lambda t: F.concat(F.lit("path:"), F.when(t.rlike("^[0-9]"), "0").otherwise(t)))
 
-        return work
 
-    return annotate(placed, [("verdict", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())], make)
+def learn(shapes: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Naive Bayes: (word, odds), log odds of block against allow, and (prior), one row, that of the classes' shares.
+
+    shapes: (host, path, rule, n); hosts: (host, words).
+    """
+    verdicts = dict((rule, verdict) for verdict, rule in RULES)
+    decided = shapes.where("rule is not null").withColumn("block", F.element_at(F.create_map(*(F.lit(x) for p in verdicts.items() for x in p)), F.col("rule")) == "block")
+    by = lambda n: (F.coalesce(F.sum(F.when(F.col("block"), n)), F.lit(0)).alias("b"), F.coalesce(F.sum(F.when(~F.col("block"), n)), F.lit(0)).alias("a"))
+    # Words of a host count once for all its pages, words of a path once for all pages of that shape.
+    of_hosts = decided.groupBy("host", "block").agg(F.sum("n").alias("n")).join(hosts, "host").select("block", "n", F.explode("words").alias("word"))
+    of_paths = decided.groupBy("path", "block").agg(F.sum("n").alias("n")).select("block", "n", F.explode(path_words(F.col("path"))).alias("word"))
+    cues = [(v == "block", CUE_WEIGHT, w) for v, listed in CUES.items() for w in listed]
+    fixed = shapes.sparkSession.createDataFrame(cues, "block boolean, n long, word string")
+    counts = cut(of_hosts.unionByName(of_paths).unionByName(fixed).groupBy("word").agg(*by(F.col("n"))))
+    total = counts.agg((F.sum("b") + F.count("*") + 1).alias("total_b"), (F.sum("a") + F.count("*") + 1).alias("total_a"))
+    odds = counts.crossJoin(F.broadcast(total)).select("word", (F.log((F.col("b") + 1) / F.col("total_b")) - F.log((F.col("a") + 1) / F.col("total_a"))).alias("odds"))
+    prior = decided.agg(*by(F.col("n"))).select((F.log(F.col("b") + 1.0) - F.log(F.col("a") + 1.0)).alias("prior"))
+    return cut(odds), cut(prior)
+
+
+def _sums(keyed: DataFrame, odds: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, sum of odds) of keyed(key, words), one row for each key; words without odds add nothing."""
+    words = keyed.select(key, F.explode("words").alias("word"))
+    found = words.join(odds, "word").groupBy(key).agg(F.sum("odds").alias(name))
+    return keyed.select(key).join(found, key, "left").select(key, F.coalesce(name, F.lit(0.0)).alias(name))
+
+
+def filter_urls(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict and score (log odds of block by the method) of each page."""
+    verdicts = dict((rule, verdict) for verdict, rule in RULES)
+    host, path = parts(F.col("url"))
+    placed = pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path).alias("rule")).withColumn("__shape", F.regexp_replace(F.lower("path"), "[0-9]+", "0"))
+    shapes = cut(placed.groupBy("host", F.col("__shape").alias("path"), "rule").agg(F.count("*").alias("n")))
+    counts = unigrams(shapes.groupBy("path").agg(F.sum("n").alias("n")))
+    hosts = host_words(shapes.select("host").distinct(), counts)
+    odds, prior = learn(shapes, hosts)
+    by_host = _sums(hosts, odds, "host", "__of_host")
+    by_path = _sums(shapes.select(F.col("path").alias("__shape")).distinct().withColumn("words", path_words(F.col("__shape"))), odds, "__shape", "__of_path")
+    score = F.round(F.col("prior") + F.col("__of_host") + F.col("__of_path"), 9)
+    ruled = F.element_at(F.create_map(*(F.lit(x) for p in verdicts.items() for x in p)), F.col("rule"))
+    rows = placed.join(by_host, "host").join(by_path, "__shape").crossJoin(F.broadcast(prior)).withColumn("score", score)
+    return rows.select("page_id", "host", "path", "rule", F.coalesce(ruled, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
