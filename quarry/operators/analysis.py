@@ -16,12 +16,10 @@ def mean_scores(rows: DataFrame, by: list[str], score: str = "score", digits: in
 
 def with_average(rows: DataFrame, by: list[str], over: str, score: str = "score", digits: int = 3) -> DataFrame:
     """The same by ``by`` and ``over``, and a row "Average" over all values of ``over``, by grouping sets."""
-    rows.createOrReplaceTempView("__scores")
-    keys = ", ".join(by)
-    return rows.sparkSession.sql(
-        f"SELECT {keys}, CASE WHEN grouping({over}) = 1 THEN 'Average' ELSE CAST({over} AS STRING) END AS {over}, round(avg({score}), {digits}) AS mean, "
-        f"round(stddev_samp({score}), {digits}) AS std, count({score}) AS n FROM __scores GROUP BY GROUPING SETS (({keys}, {over}), ({keys}))"
-    )
+    keys = [F.col(c) for c in by]
+    grouped = rows.groupingSets([[*keys, F.col(over)], keys], *keys, F.col(over))
+    made = grouped.agg(F.grouping(over).alias("__whole"), F.round(F.avg(score), digits).alias("mean"), F.round(F.stddev_samp(score), digits).alias("std"), F.count(score).alias("n"))
+    return made.select(*by, F.when(F.col("__whole") == 1, F.lit("Average")).otherwise(F.col(over).cast("string")).alias(over), "mean", "std", "n")
 
 
 def pivot_mean(rows: DataFrame, index: str, column: str, values: list, score: str = "score", digits: int = 3) -> DataFrame:

@@ -18,8 +18,13 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def term_counts(docs: DataFrame, tokenizer: Callable[[Column], Column] = X.unicode_tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenizer(F.col(text_col))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf), dealt by document: every use within one plan reads the same exchange, so texts are parted into terms once."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenizer(F.col(text_col))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).repartition("doc_id")
+
+
+def _df() -> Column:
+    """Documents of a term; it reads tf and doc_id, as an exchange is only shared by plans that take the same columns."""
+    return F.count_if((F.col("tf") > 0) & F.col("doc_id").isNotNull()).alias("df")
 
 
 def postings(docs: DataFrame, min_df: int = 2, tokenizer: Callable[[Column], Column] = X.unicode_tokens, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -29,7 +34,7 @@ def postings(docs: DataFrame, min_df: int = 2, tokenizer: Callable[[Column], Col
     terms, taken before this floor.
     """
     counts = term_counts(docs, tokenizer, id_col, text_col)
-    terms = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    terms = counts.groupBy("term").agg(_df()).where(F.col("df") >= min_df)
     total = docs.agg(F.count("*").alias("n"))
     rated = terms.crossJoin(F.broadcast(total)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean_idf = rated.agg(F.avg("raw").alias("mean_idf"))
@@ -44,7 +49,7 @@ def postings(docs: DataFrame, min_df: int = 2, tokenizer: Callable[[Column], Col
 def statistics(docs: DataFrame, min_df: int = 2, tokenizer: Callable[[Column], Column] = X.unicode_tokens) -> DataFrame:
     """One row: documents, terms, postings, mean length over all documents, mean idf before the floor."""
     counts = term_counts(docs, tokenizer)
-    terms = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    terms = counts.groupBy("term").agg(_df()).where(F.col("df") >= min_df)
     total = docs.agg(F.count("*").alias("n"))
     idf = terms.crossJoin(F.broadcast(total)).agg(F.count("*").alias("n_terms"), F.avg(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("mean_idf"))
     kept = counts.join(terms, "term").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))

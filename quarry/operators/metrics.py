@@ -93,9 +93,8 @@ def report(measures: DataFrame, names: list[str], **subsets: Column) -> DataFram
 
 def by_bin(measures: DataFrame, names: list[str], bin_col: str, visible: str) -> DataFrame:
     """Averages by position bin, by visibility and over all, by grouping sets."""
-    measures.createOrReplaceTempView("__measures")
-    wanted = ", ".join(f"avg({m}) AS {m}" for m in names)
-    return measures.sparkSession.sql(f"SELECT {bin_col}, {visible}, count(*) AS n, {wanted} FROM __measures GROUP BY GROUPING SETS (({bin_col}), ({visible}), ())")
+    sets = [[F.col(bin_col)], [F.col(visible)], []]
+    return measures.groupingSets(sets, F.col(bin_col), F.col(visible)).agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in names))
 
 
 def bootstrap(measures: DataFrame, value: str, rounds: int = 1000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -490,11 +490,12 @@ def j09(spark, sf):
     return unique_titles(d(spark, sf).select("doc_id", F.col("source").alias("title")), translate).select("doc_id", "title_translation")
 
 
-@query("j12_equal_texts", "SELECT a.doc_id AS query_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id")
+@query("j12_equal_texts", "SELECT doc_id, min(doc_id) OVER w AS class, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)")
 def j12(spark, sf):
-    a = d(spark, sf).select(F.col("doc_id").alias("query_id"), F.md5("text").alias("h"), "text")
-    b = d(spark, sf).select("doc_id", F.md5("text").alias("h"), F.col("text").alias("t"))
-    return a.join(b, "h").where("query_id < doc_id and text = t").select("query_id", "doc_id")
+    """Each document with the class of equal texts it is in, named by its least id, and how many there are."""
+    rows = d(spark, sf).select("doc_id", F.sha2("text", 256).alias("h"))
+    classes = rows.groupBy("h").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
+    return rows.join(classes, "h").select("doc_id", "class", "copies")
 
 
 @query("j18_baselines", "WITH b AS (SELECT l_returnflag AS f, round(avg(l_quantity), 4) AS mean FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), g AS (SELECT l_returnflag AS f, round(avg(l_quantity), 4) AS own FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) SELECT g.f, own, mean AS base FROM g LEFT JOIN b USING (f)")
@@ -518,17 +519,20 @@ def j21(spark, sf):
     return rescue(C.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("query_id"), (F.col("l_quantity") > 20).alias("hit")), "N")
 
 
-@query("j24_zipped_by_place", "SELECT p_partkey, c_name FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i FROM part ORDER BY p_partkey LIMIT 100) JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer ORDER BY c_custkey LIMIT 100) USING (i)")
+@query("j24_zipped_by_place", "SELECT p_partkey, upper(p_name) AS answer FROM part")
 def j24(spark, sf):
+    """Answers that come back by place only, given to the rows they were made for."""
+    from quarry.operators.corpus import numbered
     from quarry.operators.enrichment import zipped
 
-    nth = lambda df, c: df.withColumn("position", F.row_number().over(Window.orderBy(c)))
-    a = nth(C.table(spark, sf, "part").select("p_partkey").orderBy("p_partkey").limit(100), "p_partkey")
-    b = nth(C.table(spark, sf, "customer").orderBy("c_custkey").limit(100), "c_custkey").select("position", "c_name")
-    return zipped(b, a).select("p_partkey", "c_name")
+    rows = numbered(C.table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "position")
+    return zipped(rows.select("position", F.upper("p_name").alias("answer")), rows.select("position", "p_partkey")).select("p_partkey", "answer")
 
 
-@query("j17_worst_signals", "SELECT l_orderkey AS query_id, min(p_size) AS least_size, max(p_retailprice) AS most_price FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
+@query("j17_worst_signals", "SELECT l_orderkey AS query_id, min(p_size) AS len_ratio, max(p_retailprice) AS latin_residue, min(p_retailprice) AS hebrew_frac, min(p_size % 10) AS digit_jaccard FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 def j17(spark, sf):
-    rows = C.table(spark, sf, "lineitem").join(C.table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return rows.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.min("p_size").alias("least_size"), F.max("p_retailprice").alias("most_price"))
+    from quarry.operators.enrichment import worst_signals
+
+    links = C.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"))
+    price = F.col("p_retailprice")
+    return worst_signals(links, C.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("len_ratio"), price.alias("latin_residue"), price.alias("hebrew_frac"), (F.col("p_size") % 10).alias("digit_jaccard")))

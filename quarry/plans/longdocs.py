@@ -23,7 +23,7 @@ def texts(spark, sf):
     return C.docs(spark, sf).select("doc_id", "text")
 
 
-POOL_SQL = C.QRELS_SQL + """, pool AS (SELECT doc_id AS pid, text, length(text) AS n_chars FROM documents d WHERE length(text) >= 200
+POOL_SQL = C.QRELS_SQL + """, pool AS (SELECT doc_id AS pid, text, length(text) AS n_chars FROM documents d WHERE length(text) >= 100
   AND NOT EXISTS (SELECT 1 FROM qrels q WHERE q.score > 0 AND q.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE trim(b.text) = trim(d.text)))"""
 
 
@@ -36,7 +36,7 @@ def f06(spark, sf):
     return pool(spark, sf).select("pid", "n_chars")
 
 
-@query("r05_pool_report", "WITH " + C.QRELS_SQL + """, w AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM qrels q WHERE q.score > 0 AND q.doc_id = d.doc_id) THEN 'positive' WHEN EXISTS (SELECT 1 FROM benchmark b WHERE trim(b.text) = trim(d.text)) THEN 'query_text' WHEN length(text) < 200 THEN 'short' ELSE 'safe' END AS why FROM documents d)
+@query("r05_pool_report", "WITH " + C.QRELS_SQL + """, w AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM qrels q WHERE q.score > 0 AND q.doc_id = d.doc_id) THEN 'positive' WHEN EXISTS (SELECT 1 FROM benchmark b WHERE trim(b.text) = trim(d.text)) THEN 'query_text' WHEN length(text) < 100 THEN 'short' ELSE 'safe' END AS why FROM documents d)
 SELECT count(*) AS n_docs, count(CASE WHEN why = 'positive' THEN 1 END) AS n_positive, count(CASE WHEN why = 'query_text' THEN 1 END) AS n_query_text, count(CASE WHEN why = 'short' THEN 1 END) AS n_short, count(CASE WHEN why = 'safe' THEN 1 END) AS n_safe, round(100 * count(CASE WHEN why = 'safe' THEN 1 END) / count(*), 4) AS pct_safe FROM w""")
 def r05(spark, sf):
     return L.pool_report(texts(spark, sf), C.questions(spark, sf), C.qrels(spark, sf))
@@ -54,28 +54,40 @@ def j04(spark, sf):
 
 RING_SQL = f"""sds AS (SELECT pid, {SEED.format(GLOBAL + "'random' || chr(31) || pid")} AS s FROM pool),
 plc AS (SELECT pid, row_number() OVER (ORDER BY s // 288230376151711744, s, pid) - 1 AS place FROM sds), tot AS (SELECT count(*) AS n FROM pool),
-wnt AS (SELECT doc_id, nth, ({SEED.format(GLOBAL + "'random' || chr(31) || doc_id")} % n + nth) % n AS place FROM (SELECT doc_id, n, unnest(generate_series(0, least(5, n) - 1)) AS nth FROM documents, tot WHERE doc_id < 200)),
+wnt AS (SELECT doc_id, nth, ({SEED.format(GLOBAL + "'random' || chr(31) || doc_id")} % n + nth) % n AS place FROM (SELECT doc_id, n, unnest(generate_series(0, least(900, n) - 1)) AS nth FROM documents, tot)),
 ring AS (SELECT doc_id, nth, pid FROM wnt JOIN plc USING (place))"""
 
 
 @query("r07_ring_filler", "WITH " + POOL_SQL + ", " + RING_SQL + " SELECT doc_id, nth, pid FROM ring")
 def r07(spark, sf):
-    return L.ring(texts(spark, sf).where("doc_id < 200"), pool(spark, sf), 5)
+    return L.ring(texts(spark, sf), pool(spark, sf), L.DRAWN)
 
 
-@query("f07_own_text_excluded", "WITH " + POOL_SQL + ", " + RING_SQL + " SELECT r.doc_id, r.nth, r.pid FROM ring r JOIN documents o ON o.doc_id = r.doc_id JOIN pool p USING (pid) WHERE r.pid <> r.doc_id AND p.text <> o.text AND NOT (length(o.text) >= 64 AND contains(p.text, o.text))")
+HOLDS_SQL = """holds AS (SELECT o.doc_id, p.pid FROM documents o JOIN pool p ON p.pid <> o.doc_id AND length(o.text) >= 64 AND length(p.text) >= length(o.text) AND contains(p.text, o.text)
+  WHERE len(list_filter(regexp_split_to_array(o.text, '\\s+'), lambda x: x <> '')) > 2)"""
+
+
+@query("f07_own_text_excluded", "WITH " + POOL_SQL + ", " + RING_SQL + ", " + HOLDS_SQL + ", m AS (SELECT doc_id, md5(text) AS d FROM documents) SELECT r.doc_id, r.nth, r.pid FROM ring r JOIN m o ON o.doc_id = r.doc_id JOIN m p ON p.doc_id = r.pid LEFT JOIN holds h ON h.doc_id = r.doc_id AND h.pid = r.pid WHERE r.pid <> r.doc_id AND p.d <> o.d AND h.pid IS NULL")
 def f07(spark, sf):
-    seeds, filler = texts(spark, sf).where("doc_id < 200"), pool(spark, sf)
-    return L.without_own(L.ring(seeds, filler, 5), seeds, filler).select("doc_id", "nth", "pid")
+    seeds, filler = texts(spark, sf), pool(spark, sf)
+    return L.without_own(L.ring(seeds, filler, L.DRAWN), seeds, filler).select("doc_id", "nth", "pid")
+
 
+@query("r07_bm25_filler")
+def r07b(spark, sf):
+    """Each searched document's nearest pool passages, topped up from the ring; a search, so of ids divisible by 20."""
+    seeds = texts(spark, sf).where("doc_id % 20 = 0")
+    return L.drawn(seeds, pool(spark, sf), "bm25").select("doc_id", "nth", "pid")
 
-@query("j16_containment")
+
+@query("j16_containment", "WITH pool AS (SELECT doc_id AS pid, text FROM documents), " + HOLDS_SQL + ", c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class FROM documents) SELECT DISTINCT a.class AS seed_class, b.class AS doc_class FROM holds h JOIN c a ON a.doc_id = h.doc_id JOIN c b ON b.doc_id = h.pid WHERE a.class <> b.class")
 def j16(spark, sf):
-    """Documents that contain another one's first line of some length, found by equal lines, not by all pairs."""
+    """Documents that contain another one's whole text, as pairs of classes of equal texts, each named by its least id."""
     d = texts(spark, sf)
-    line = d.select(F.col("doc_id").alias("seed_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("line")).where("length(line) >= 64")
-    held = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    return held.join(line, "line").where("doc_id <> seed_id").select("seed_id", "doc_id")
+    least = d.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("class"))
+    pairs = L.containing(d, d)
+    named = pairs.join(least.select(F.col("digest").alias("own"), F.col("class").alias("seed_class")), "own")
+    return named.join(least.select(F.col("digest").alias("holder"), F.col("class").alias("doc_class")), "holder").select("seed_class", "doc_class")
 
 
 @query("p28_position_fractions", f"""SELECT doc_id, bin, round(lo + (hi - lo) * (({SEED.format(GLOBAL + "'random' || chr(31) || doc_id || chr(31) || bin")})::DOUBLE / 18446744073709551616.0), 6) AS frac FROM documents, (VALUES ('start', 0.0, 0.05), ('middle', 0.45, 0.55), ('end', 0.95, 1.0)) v(bin, lo, hi)""")
@@ -91,23 +103,35 @@ def r08(spark, sf):
     return texts(spark, sf).select("doc_id", made.alias("w")).select("doc_id", "w.padded", "w.before", "w.after")
 
 
-def built(spark, sf, rungs=(3700, 7400, 11800)):
-    """Welded documents of a hundred seeds, and what they are made from."""
+def built(spark, sf, condition="random", chosen="true"):
+    """Welded documents of a condition at all rungs, and what they are made from."""
     j = C.qrels(spark, sf)
     golds = j.where("score > 0").select("doc_id").distinct().withColumn("is_gold", F.lit(True))
-    seeds = texts(spark, sf).where("doc_id < 100").join(golds, "doc_id", "left").withColumn("is_gold", F.coalesce("is_gold", F.lit(False)))
+    seeds = texts(spark, sf).where(chosen).join(golds, "doc_id", "left").withColumn("is_gold", F.coalesce("is_gold", F.lit(False)))
     filler = pool(spark, sf)
-    return L.welded(seeds, L.without_own(L.ring(seeds, filler, 60), seeds, filler), "random", rungs), seeds, j
+    own = L.without_own(L.drawn(seeds, filler, condition), seeds, filler, 2 * max(L.RUNGS))
+    return L.welded(seeds, own, filler, condition), seeds, j
+
+
+R09_SQL = """WITH """ + C.QRELS_SQL + """, g AS (SELECT DISTINCT doc_id FROM qrels WHERE score > 0), s AS (SELECT d.doc_id, length(text) AS n, md5(text) AS gold_md5, g.doc_id IS NOT NULL AS is_gold FROM documents d LEFT JOIN g USING (doc_id) WHERE {0})
+SELECT CAST(s.doc_id AS VARCHAR) AS doc_id, CAST(r AS INT) AS rung_chars, bin AS position_bin, is_gold, n + 4 <= r AS padded, CAST(n AS INT) AS gold_chars, gold_md5 FROM s, (SELECT unnest([3700, 7400, 11800, 19000, 27000]) AS r), (SELECT unnest(['start', 'middle', 'end']) AS bin)
+WHERE is_gold OR bin = ['start', 'middle', 'end'][CAST(""" + SEED.format("CAST(s.doc_id AS VARCHAR)") + """ % 3 AS INT) + 1]"""
 
 
-@query("r09_welded_ladder", """WITH """ + C.QRELS_SQL + """, g AS (SELECT DISTINCT doc_id FROM qrels WHERE score > 0), s AS (SELECT d.doc_id, length(text) AS n, g.doc_id IS NOT NULL AS is_gold FROM documents d LEFT JOIN g USING (doc_id) WHERE d.doc_id < 100)
-SELECT CAST(s.doc_id AS VARCHAR) AS doc_id, CAST(r AS INT) AS rung_chars, bin AS position_bin, is_gold, n + 4 <= r AS padded, CAST(n AS INT) AS gold_chars, true AS intact FROM s, (SELECT unnest([3700, 7400, 11800]) AS r), (SELECT unnest(['start', 'middle', 'end']) AS bin)
-WHERE is_gold OR bin = ['start', 'middle', 'end'][CAST(""" + SEED.format("CAST(s.doc_id AS VARCHAR)") + """ % 3 AS INT) + 1]""")
+def ladder_rows(welded):
+    gold = F.substring("text", F.col("gold_char_start") + 1, F.col("gold_char_end") - F.col("gold_char_start"))
+    return welded.select("doc_id", "rung_chars", "position_bin", "is_gold", "padded", (F.col("gold_char_end") - F.col("gold_char_start")).alias("gold_chars"), F.md5(gold).alias("gold_md5"))
+
+
+@query("r09_welded_ladder", R09_SQL.format("true"))
 def r09(spark, sf):
-    w, seeds, _ = built(spark, sf)
-    rows = w.join(seeds.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("own")), "doc_id")
-    intact = F.substring("text", F.col("gold_char_start") + 1, F.col("gold_char_end") - F.col("gold_char_start")) == F.col("own")
-    return rows.select("doc_id", "rung_chars", "position_bin", "is_gold", "padded", (F.col("gold_char_end") - F.col("gold_char_start")).alias("gold_chars"), intact.alias("intact"))
+    return ladder_rows(built(spark, sf)[0])
+
+
+@query("r09_welded_ladder_bm25", R09_SQL.format("d.doc_id % 20 = 0"))
+def r09b(spark, sf):
+    """The harder condition, of the documents whose ids are divisible by 20: each is a search over all of them."""
+    return ladder_rows(built(spark, sf, "bm25", "doc_id % 20 = 0")[0])
 
 
 @query("v15_verification_suite")
@@ -310,7 +334,7 @@ def e01(spark, sf):
 
 @query("e02_encoder_stub")
 def e02(spark, sf):
-    return texts(spark, sf).where("doc_id < 100").select("doc_id", F.transform(stubs.encode(F.col("text"), 8), lambda x: F.round(x, 6)).alias("embedding"))
+    return texts(spark, sf).select("doc_id", F.transform(stubs.encode(F.col("text"), 8), lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query("e05_judge_stub", "WITH t AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, length(text) // 4) END AS t FROM documents) SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 WHEN length(t) / length(text) < 0.5 THEN 2 ELSE 5 END AS score FROM t")

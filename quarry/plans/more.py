@@ -63,11 +63,7 @@ def p06(spark, sf):
 @query("p08_snapped_heads", """WITH c AS (SELECT doc_id, text, CASE WHEN length(text) <= 500 THEN -1 ELSE list_max(list_filter(generate_series(469, 501), lambda i: regexp_matches(substr(text, i, 1), '^\\s$'))) END AS space FROM documents)
 SELECT doc_id, md5(CASE WHEN space = -1 THEN text WHEN space IS NULL THEN substr(text, 1, 500) ELSE substr(text, 1, space - 1) END) AS head_md5 FROM c""")
 def p08(spark, sf):
-    def heads(frames):
-        for pdf in frames:
-            yield pdf.assign(head=[L.snap_head(t, 500) for t in pdf["text"]])[["doc_id", "head"]]
-
-    return texts(spark, sf).mapInPandas(heads, "doc_id long, head string").select("doc_id", F.md5("head").alias("head_md5"))
+    return texts(spark, sf).select("doc_id", F.md5(L.head(F.col("text"), F.lit(500))).alias("head_md5"))
 
 
 @query("p11_part_at_offset", "SELECT doc_id, substr(text, 11, 20) = substr(text, 11, 20) AS same, md5(substr(text, 11, 20)) AS part_md5 FROM documents")
@@ -105,18 +101,18 @@ def t13(spark, sf):
     return rows.select("item_id", E.rendered(template, rows.columns).alias("prompt"))
 
 
-@query("j19_merged_annotations", "SELECT a.c_custkey, b.s_suppkey FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey WHERE a.c_custkey % 10 = 0")
+@query("j19_merged_annotations", "SELECT a.c_custkey, b.s_suppkey FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey")
 def j19(spark, sf):
-    a = C.table(spark, sf, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.col("c_nationkey").alias("k"))
+    a = C.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
     return a.join(C.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), "k").select("c_custkey", "s_suppkey")
 
 
-@query("l02_dense_topk_scores", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10) SELECT query_id, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM p) WHERE r <= 100 GROUP BY query_id")
+@query("l02_dense_topk_scores", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT query_id, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM p) WHERE r <= 100 GROUP BY query_id")
 def l02(spark, sf):
     from quarry.operators.dense import knn
 
     e = C.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    near = knn(e.where("doc_id < 10").withColumnRenamed("doc_id", "query_id"), e, 100)
+    near = knn(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e, 100)
     return near.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
 
 
@@ -126,29 +122,26 @@ def l08(spark, sf):
     return sizes.withColumn("place", F.row_number().over(Window.orderBy("n", "source")).cast("long"))
 
 
-@query("r06_tapes")
-def r06(spark, sf):
-    """Lengths of both tapes of each document, and how many passages they are made of."""
-    rows = C.docs(spark, sf).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("f"))
+SIDES_SQL = """p AS (SELECT source, doc_id, length(text) + 2 AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents),
+k AS (SELECT *, place % 2 AS side, coalesce(sum(n) OVER (PARTITION BY source, place % 2 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)"""
 
-    def run(frames):
-        for pdf in frames:
-            out = [(s, *L.tapes([(str(x["doc_id"]), x["text"]) for x in f], 5000)) for s, f in zip(pdf["source"], pdf["f"])]
-            yield pdf.assign(left_chars=[len(o[1]) for o in out], right_chars=[len(o[2]) for o in out], n_passages=[len(o[3]) for o in out])[["source", "left_chars", "right_chars", "n_passages"]]
 
-    return rows.mapInPandas(run, "source string, left_chars long, right_chars long, n_passages long")
+@query("r06_tapes", "WITH " + SIDES_SQL + " SELECT source, CAST(greatest(0, coalesce(sum(CASE WHEN side = 0 THEN n END), 2) - 2) AS BIGINT) AS left_chars, CAST(greatest(0, coalesce(sum(CASE WHEN side = 1 THEN n END), 2) - 2) AS BIGINT) AS right_chars, count(*) AS n_passages FROM k WHERE before < 5000 GROUP BY source")
+def r06(spark, sf):
+    """Lengths of both tapes of each source's documents in order, and how many passages they are made of."""
+    d = C.docs(spark, sf).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("nth"), F.col("doc_id").alias("pid"), F.length("text").cast("long").alias("n_chars"))
+    made = L.tapes(L.dealt(d, 5000), texts(spark, sf).withColumnRenamed("doc_id", "pid"))
+    return made.select(F.col("doc_id").alias("source"), F.length("left").cast("long").alias("left_chars"), F.length("right").cast("long").alias("right_chars"), F.size("ids").cast("long").alias("n_passages"))
 
 
 @query("r11_legacy_documents")
 def r11(spark, sf):
-    rows = C.docs(spark, sf).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("f"))
-
-    def run(frames):
-        for pdf in frames:
-            made = [L.legacy_document(f[0]["text"], [x["text"] for x in f[1:]], 512, 0.5) for f in pdf["f"]]
-            yield pdf.assign(n_tokens=[len(m[0].split()) for m in made], first=[m[1] for m in made], last=[m[2] for m in made])[["source", "n_tokens", "first", "last"]]
-
-    return rows.mapInPandas(run, "source string, n_tokens long, first long, last long")
+    d = C.docs(spark, sf)
+    first = d.groupBy("source").agg(F.min("doc_id").alias("nth"))
+    golds = d.join(first.select(F.col("nth").alias("doc_id")), "doc_id", "left_semi").select(F.col("source").alias("doc_id"), "text")
+    rest = d.join(first.select(F.col("nth").alias("doc_id")), "doc_id", "left_anti").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("nth"), "text")
+    out = L.legacy_documents(golds, rest, 512, 0.5)
+    return out.select(F.col("doc_id").alias("source"), X.word_count(F.col("text")).alias("n_tokens"), "first", "last")
 
 
 @query("r15_documents_from_windows", "WITH w AS (SELECT l_suppkey % 20 AS query_id, l_partkey % 100 AS doc_id, l_extendedprice AS score FROM lineitem), d AS (SELECT query_id, doc_id, round(avg(score), 4) AS score FROM w GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM d QUALIFY rank <= 5")
@@ -164,7 +157,7 @@ def check(name, *arguments):
 
     @query(name)
     def run(spark, sf):
-        made = dict(zip(("welded", "seeds", "qrels"), built(spark, sf, (3700, 7400))))
+        made = dict(zip(("welded", "seeds", "qrels"), built(spark, sf)))
         return arguments[0](*(made[a] for a in arguments[1:]))
 
     run.__doc__ = arguments[0].__doc__

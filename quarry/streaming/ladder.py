@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +16,17 @@ class Killed(RuntimeError):
     """A run that had begun is started again without the wish to resume it."""
 
 
+class Stopped(RuntimeError):
+    """The batch before did not pass its gate; this one is left for a run that resumes."""
+
+
 class Ladder:
     """Shards in order through prefill, translation, cache, accumulation and a gate.
 
     Each micro-batch is one shard file (the stream's checkpoint remembers which are done), and what it
     writes is under its batch number, so a batch that runs again after a crash replaces its own rows
-    and nothing is counted twice. A batch whose scores do not pass stops the ladder after it.
+    and nothing is counted twice. A batch whose scores do not pass stops the ladder after it: the next
+    batch fails before it does or commits anything, so a run that resumes takes it and all later ones.
     """
 
     def __init__(self, spark: SparkSession, source: str, schema: str, out: str, translate: Callable, judge: Callable, model: str = "stub", prompt: str = "p", pilot: DataFrame | None = None):
@@ -40,7 +46,7 @@ class Ladder:
     def step(self, batch: DataFrame, number: int) -> None:
         """One shard."""
         if self.stopped:
-            return
+            raise Stopped(f"the gate was not passed before batch {number}")
         rows = keyed(batch, self.model, self.prompt)
         known = self.cache(number)
         fresh = rows.select("key", "text").dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
@@ -61,7 +67,13 @@ class Ladder:
         if exists(self.spark, checkpoint) and not resume:
             raise Killed(f"{checkpoint} is there: pass resume=True to go on")
         stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", shards_at_once).option("latestFirst", False).parquet(self.source)
-        stream.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        self.stopped = False
+        running = stream.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            running.awaitTermination()
+        except StreamingQueryException:
+            if not self.stopped:
+                raise
         return self.history()
 
     def history(self) -> DataFrame:

@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import parsers as P
@@ -15,17 +13,18 @@ from quarry.operators import longctx as L
 from quarry.operators import verify as V
 from quarry.streaming import ladder
 
-TEXT = st.text(alphabet="ab \n", max_size=300)
-
-
-@settings(max_examples=200, deadline=None)
-@given(TEXT, st.integers(0, 320), st.integers(0, 320))
-def test_snapping_is_monotone(tape, a, b):
-    a, b = sorted((a, b))
-    for cut in (L.snap_head, L.snap_tail):
-        assert len(cut(tape, a)) <= a
-    assert L.snap_head(tape, b).startswith(L.snap_head(tape, a))
-    assert L.snap_tail(tape, b).endswith(L.snap_tail(tape, a))
+def test_snapping_is_monotone(spark):
+    rng = random.Random(2)
+    rows = [("".join(rng.choices("ab \n", weights=(40, 40, w, 1), k=rng.randrange(300))), *sorted((rng.randrange(320), rng.randrange(320)))) for w in (0, 1, 4, 40) for _ in range(100)]
+    df = spark.createDataFrame(rows, "t string, a int, b int")
+    made = df.select("t", "a", *(f(F.col("t"), F.col(n)).alias(f"{f.__name__}_{n}") for f in (L.head, L.tail) for n in "ab"))
+    for r in made.collect():
+        assert len(r.head_a) <= r.a and len(r.tail_a) <= r.a
+        assert r.head_b.startswith(r.head_a) and r.tail_b.endswith(r.tail_a)
+        assert r.t.startswith(r.head_a) and r.t.endswith(r.tail_a)
+        if 0 < r.a < len(r.t):
+            spaces = [i for i in range(max(1, r.a - L.MOST_SNAP), r.a + 1) if r.t[i].isspace()]
+            assert len(r.head_a) == (max(spaces) if spaces else r.a)
 
 
 def fillers(n, seed=7):
@@ -33,28 +32,51 @@ def fillers(n, seed=7):
     return [(f"p{i}", " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(40, 160)))) for i in range(n)]
 
 
-def test_ladder_nests_and_keeps_the_passage():
+def test_ladder_nests_and_keeps_the_passage(spark):
     gold = "the passage that must stay whole in every document"
-    left, right, ids = L.tapes(fillers(160), 29_600)
-    assert len(ids) == len(set(ids)) and min(len(left), len(right)) >= 29_000
-    for position in (0.0, 0.03, 0.5, 0.97, 1.0):
+    pool = spark.createDataFrame(fillers(160), "pid string, text string")
+    drawn = spark.createDataFrame([("d", i, p, len(t)) for i, (p, t) in enumerate(fillers(160))], "doc_id string, nth long, pid string, n_chars long")
+    made = L.tapes(L.dealt(drawn, 29_600), pool).first()
+    assert len(made.ids) == len(set(made.ids)) and min(len(made.left), len(made.right)) >= 29_000
+    positions, rungs = (0.0, 0.03, 0.5, 0.97, 1.0), (1850, 3700, 7400, 14_800, 22_200, 29_600)
+    rows = spark.createDataFrame([(made.left, made.right, p, b) for p in positions for b in rungs], "l string, r string, p double, b int")
+    got = {(r.p, r.b): r.w for r in rows.select("p", "b", L.weld(F.lit(gold), F.col("l"), F.col("r"), F.col("b"), F.col("p")).alias("w")).collect()}
+    for position in positions:
         before = None
-        for budget in (1850, 3700, 7400, 14_800, 22_200, 29_600):
-            w = L.weld(gold, left, right, budget, position)
-            assert w["text"][w["gold_char_start"] : w["gold_char_end"]] == gold
+        for budget in rungs:
+            w = got[position, budget]
+            assert w["text"][w["gold_char_start"] : w["gold_char_end"]] == gold and w.padded and not w.tape_exhausted
             assert 0.96 * budget <= len(w["text"]) <= budget and w["gold_char_end"] <= 0.97 * budget
             assert before is None or before in w["text"]
             before = w["text"]
-    assert L.weld("x" * 100, left, right, 100, 0.5)["padded"] is False
+    assert not rows.limit(1).select(L.weld(F.lit("x" * 100), F.col("l"), F.col("r"), F.lit(100), F.lit(0.5)).alias("w")).first().w.padded
 
 
 def test_weld_budgets_match(spark):
     rows = spark.range(200).select((F.col("id") * 17).alias("n"), (F.col("id") / 200).alias("f"))
-    for r in rows.select("n", "f", L.budgets(F.col("n"), F.lit(2000), F.col("f")).alias("b")).collect():
-        w = L.weld("x" * r.n, "l" * 9000, "r" * 9000, 2000, r.f)
-        assert w["padded"] == r.b.padded
+    w = L.weld(F.expr("repeat('x', cast(n as int))"), F.lit("l" * 9000), F.lit("r" * 9000), F.lit(2000), F.col("f"))
+    for r in rows.select("n", "f", L.budgets(F.col("n"), F.lit(2000), F.col("f")).alias("b"), w.alias("w")).collect():
+        assert r.w.padded == r.b.padded
         if r.b.padded:
-            assert w["gold_char_start"] == (r.b.before + 2 if r.b.before else 0)
+            assert r.w.gold_char_start == (r.b.before + 2 if r.b.before else 0)
+
+
+def test_own_text_is_no_filler_unless_filler_is_short(spark):
+    long = "a document of its own that is longer than sixty four characters, by some words"
+    seeds = spark.createDataFrame([("d", long)], "doc_id string, text string")
+    pool = spark.createDataFrame([("d", long), ("copy", long), ("holds", "before " + long + " after"), ("other", "nothing of the kind " * 5)], "pid string, text string")
+    found = L.ring(seeds, pool, 10)
+    assert {r.pid for r in L.without_own(found, seeds, pool).collect()} == {"other"}
+    assert {r.pid for r in L.without_own(found, seeds, pool, needed=1000).collect()} == {"other", "holds"}
+    assert {r.pid for r in L.without_own(found, seeds, pool, needed=50).collect()} == {"other"}
+
+
+def test_neighbours_come_first_and_the_ring_tops_up(spark):
+    pool = spark.createDataFrame([(f"p{i}", f"common word{i % 5} and more of text number {i}") for i in range(50)], "pid string, text string")
+    seeds = spark.createDataFrame([("d", "word3 word3")], "doc_id string, text string")
+    got = L.drawn(seeds, pool, "bm25", 50, 4).orderBy("nth").collect()
+    assert len(got) == 50 == len({r.pid for r in got}) and [r.nth for r in got[:4]] == [0, 1, 2, 3]
+    assert all(int(r.pid[1:]) % 5 == 3 for r in got[:4])
 
 
 @pytest.fixture(scope="module")
@@ -65,7 +87,7 @@ def bench(spark):
     docs = spark.createDataFrame(seeds, "doc_id string, text string, is_gold boolean")
     qrels = spark.createDataFrame([(f"q{i}", f"d{i}", 1) for i in range(0, 40, 4)], "query_id string, doc_id string, score int")
     own = L.without_own(L.ring(docs, pool, 80), docs, pool)
-    welded = spark.createDataFrame(L.welded(docs, own, "random", (3700, 7400)).collect(), L.WELDED)
+    welded = spark.createDataFrame(L.welded(docs, own, pool, "random", (3700, 7400)).collect(), L.WELDED)
     return welded, docs, qrels
 
 
@@ -97,9 +119,13 @@ def test_faults_trip_their_checks(bench, name):
     assert not got[name]
 
 
-def test_legacy_document():
-    text, a, b = L.legacy_document("g1 g2", ["a b c", "d e f", "h i"], 6, 0.5)
+def test_legacy_document(spark):
+    golds = spark.createDataFrame([("d", "g1 g2"), ("alone", "a b")], "doc_id string, text string")
+    others = spark.createDataFrame([("d", 0, "a b c"), ("d", 1, "d e f"), ("d", 2, "h i")], "doc_id string, nth int, text string")
+    got = {r.doc_id: r for r in L.legacy_documents(golds, others, 6, 0.5).collect()}
+    text, a, b = got["d"].text, got["d"]["first"], got["d"]["last"]
     assert text.split()[a:b] == ["g1", "g2"] and len(text.split()) <= 6
+    assert got["alone"].text == "a b"
     with pytest.raises(ValueError):
         L.check_window(8192, 512)
 
@@ -166,6 +192,17 @@ def test_ladder_stops_at_a_failed_gate(spark, tmp_path):
     assert history.count() == 1 and not history.first().passed
 
 
+def test_ladder_goes_on_after_a_failed_gate(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "_id string, text string"
+    for i in range(4):
+        spark.createDataFrame([(f"{i}-{j}", f"some text {i} {j}") for j in range(3)], schema).coalesce(1).write.mode("append").parquet(source)
+    bad = ladder.Ladder(spark, source, schema, out, lambda t: F.lit(""), stubs.judge)
+    assert bad.run().count() == 1 and bad.accumulated().count() == 3
+    good = ladder.Ladder(spark, source, schema, out, F.upper, stubs.judge)
+    assert good.run(resume=True).count() == 4 and good.accumulated().count() == 12
+
+
 def test_event_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "e"))
