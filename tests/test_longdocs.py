@@ -40,7 +40,7 @@ def test_ladder_nests_and_keeps_the_passage(spark):
     assert len(made.ids) == len(set(made.ids)) and min(len(made.left), len(made.right)) >= 29_000
     positions, rungs = (0.0, 0.03, 0.5, 0.97, 1.0), (1850, 3700, 7400, 14_800, 22_200, 29_600)
     rows = spark.createDataFrame([(made.left, made.right, p, b) for p in positions for b in rungs], "l string, r string, p double, b int")
-    got = {(r.p, r.b): r.w for r in rows.select("p", "b", L.weld(F.lit(gold), F.col("l"), F.col("r"), F.col("b"), F.col("p")).alias("w")).collect()}
+    got = {(r.p, r.b): r.w for r in L.weld(rows.withColumn("g", F.lit(gold)), "g", "l", "r", "b", "p").select("p", "b", "w").collect()}
     for position in positions:
         before = None
         for budget in rungs:
@@ -49,13 +49,13 @@ def test_ladder_nests_and_keeps_the_passage(spark):
             assert 0.96 * budget <= len(w["text"]) <= budget and w["gold_char_end"] <= 0.97 * budget
             assert before is None or before in w["text"]
             before = w["text"]
-    assert not rows.limit(1).select(L.weld(F.lit("x" * 100), F.col("l"), F.col("r"), F.lit(100), F.lit(0.5)).alias("w")).first().w.padded
+    assert not L.weld(rows.where("b = 1850").withColumn("g", F.lit("x" * 1847)), "g", "l", "r", "b", "p").first().w.padded
 
 
 def test_weld_budgets_match(spark):
     rows = spark.range(200).select((F.col("id") * 17).alias("n"), (F.col("id") / 200).alias("f"))
-    w = L.weld(F.expr("repeat('x', cast(n as int))"), F.lit("l" * 9000), F.lit("r" * 9000), F.lit(2000), F.col("f"))
-    for r in rows.select("n", "f", L.budgets(F.col("n"), F.lit(2000), F.col("f")).alias("b"), w.alias("w")).collect():
+    rows = rows.withColumns({"g": F.expr("repeat('x', cast(n as int))"), "l": F.lit("l" * 9000), "r": F.lit("r" * 9000), "b": L.budgets(F.col("n"), F.lit(2000), F.col("f")), "most": F.lit(2000)})
+    for r in L.weld(rows, "g", "l", "r", "most", "f").collect():
         assert r.w.padded == r.b.padded
         if r.b.padded:
             assert r.w.gold_char_start == (r.b.before + 2 if r.b.before else 0)
