@@ -45,11 +45,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are the first of their group, or in none. Rows that repeat a doc_id stay once."""
+    """Documents that are the first of their group, or in none.
+
+    A doc_id names one document: of rows that repeat one, one stays, whatever their texts. Rows without
+    doc_id belong to no group and all stay. A null or empty text has no group; no rows give no rows.
+    """
     found = near_dup.near_dup(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("kept").alias("__kept"))
-    left = docs.join(found, F.col("doc_id") == F.col("__doc"), "left").where(F.coalesce("__kept", F.lit(True)))
+    named = docs.where("doc_id is not null")
+    left = named.join(found, F.col("doc_id") == F.col("__doc"), "left").where(F.coalesce("__kept", F.lit(True)))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("__nth", nth).where("doc_id is null or __nth = 1").select(*docs.columns)
+    first = left.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    return first.unionByName(docs.where("doc_id is null"))
 
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -79,7 +85,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret overwritten; spans that overlap are overwritten as one."""
+    """Texts with every secret overwritten; spans that overlap are overwritten as one.
+
+    Null texts stay null, empty ones empty; texts of any length are scanned whole; no rows give no rows.
+    """
     out = secret_scan.scan_secrets(docs, names={"spans": "__spans"})
 
     def make():
@@ -104,7 +113,11 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and place."""
+    """Every piece of every document with its sequence and place.
+
+    A null or empty text is its end mark alone; longer texts than a sequence are cut into pieces, which
+    rows that repeat a doc_id each have; no rows give no rows. Other columns are not looked at.
+    """
     pieces = packing.encode(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(cut(pieces))
 
