@@ -169,6 +169,23 @@ def qa_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", "paragraph", "context", F.col("q.id").alias("question_id"), F.col("q.question").alias("question"), F.get(F.col("q.answers"), F.lit(0))["text"].alias("answer"))
 
 
+def positive_passages(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, doc_id, score): every positive passage that a query's record lists, graded 1."""
+    rows = spark.read.schema("query_id string, positive_passages array<struct<docid: string, title: string, text: string>>").json(path)
+    return rows.select("query_id", F.explode("positive_passages.docid").alias("doc_id"), F.lit(1).alias("score"))
+
+
+def successes(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of lists, converted to JSON lines once, that were made with success."""
+    return spark.read.schema(schema).json(path).where("success").drop("success")
+
+
+def results_json(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """What each folder's results.json says, with the folder's name as dataset."""
+    rows = spark.read.schema(schema).json(root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="results.json")
+    return rows.withColumn("dataset", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/results\\.json$", 1))
+
+
 def csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A table with quoted line feeds; only the given columns, in order, as text."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
@@ -226,7 +243,8 @@ def neutral_filler(rows: DataFrame, least: int = 200, most: int = 3000, n: int =
 def welded_corpus(spark: SparkSession, root: str, dataset: str, condition: str, rung: int, position: str) -> DataFrame:
     """The documents of one setting: all that are no golds, and the golds at one position; an error on repeated ids."""
     rows = spark.read.parquet(root).where((F.col("dataset") == dataset) & (F.col("condition") == condition) & (F.col("rung_chars") == rung))
-    rows = rows.where(~F.col("is_gold") | (F.col("position_bin") == position))
+    # A flag that is part of a path comes back as text.
+    rows = rows.withColumn("is_gold", F.col("is_gold").cast("boolean")).where(~F.col("is_gold") | (F.col("position_bin") == position))
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         raise ValueError("an id occurs twice")
     return rows

@@ -11,6 +11,9 @@ from quarry.functions.text import join_title_text
 from quarry.operators.corpus import manifest, shards
 from quarry.operators.enrichment import mirrored, rejoined
 
+#: Tables in text keep the white space around their values.
+TABLE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def records(rows: DataFrame, path: str, per_file: int = 1_000_000) -> None:
     """Training records with a fixed schema, in files of bounded length."""
@@ -29,7 +32,7 @@ def json_lines(rows: DataFrame, path: str) -> None:
 def sharded(rows: DataFrame, path: str, size: int, order: list, kind: str) -> DataFrame:
     """Shards of equal numbers of rows, stale ones removed; returns the manifest."""
     numbered = shards(rows, size, order)
-    numbered.repartition("shard").sortWithinPartitions("shard", *order).write.mode("overwrite").partitionBy("shard").option("escape", '"').option("header", True).csv(f"{path}/{kind}")
+    numbered.repartition("shard").sortWithinPartitions("shard", *order).write.mode("overwrite").partitionBy("shard").options(**TABLE).csv(f"{path}/{kind}")
     return manifest(numbered, kind)
 
 
@@ -62,7 +65,7 @@ def english_mirror(corpus: DataFrame, path: str) -> int:
 def review(rows: DataFrame, path: str, most: int = 4000) -> None:
     """A table for review, with long texts clipped and a byte order mark for spreadsheets."""
     clipped = [F.substring(c, 1, most).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
-    rows.select(*clipped).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    rows.select(*clipped).coalesce(1).write.mode("overwrite").options(**TABLE, encoding="UTF-8").csv(path)
 
 
 def welded(rows: DataFrame, path: str) -> None:
