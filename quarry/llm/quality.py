@@ -108,12 +108,16 @@ def count_rows(docs: DataFrame, names: dict[str, str] | None = None) -> DataFram
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Trees | None:
-    """Trees for the labels' quality; None without labels of both kinds."""
+    """Trees for the labels' quality; None without labels of both kinds.
+
+    ``sample`` bounds the labels, the first by a hash of their ids; of documents that repeat those ids
+    at most four times as many rows are taken, the first in the same order, so any run fits the same rows.
+    """
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__doc"), F.col("quality").alias("__quality"))
     # The sample is bounded, so its ids may be sent to every task that reads texts.
     chosen = known.orderBy(F.xxhash64("__doc"), "__doc", "__quality").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc"))
-    found = count_rows(rows.select("__doc", "__quality", "text")).select("__doc", "__quality", *COUNTS).limit(4 * sample).collect()
+    found = count_rows(rows.select("__doc", "__quality", "text")).select("__doc", "__quality", *COUNTS).orderBy(F.xxhash64("__doc"), "__doc", "__quality", *COUNTS).limit(4 * sample).collect()
     found.sort()
     y = np.array([r["__quality"] for r in found], np.float64)
     if not 0 < y.sum() < len(y):
