@@ -10,7 +10,8 @@ UTF-8 bytes' pieces (byte fallback), or the unknown piece where the model has no
 
 The encoding is the unigram model's: the pieces whose scores add up to most. The public model here
 holds merge ranks as scores; run as a unigram model, the library's lattice search gives the same ids
-word by word (a test compares them). Ties between equal sums go to the longer last piece, as single characters come last.
+word by word (a test compares them). They are not the ids of a merge by ranks, which differ in most
+texts: on a table of 200 documents in all of them, and in 15,590 of 27,730 distinct words. Ties between equal sums go to the longer last piece, as single characters come last.
 
 Edge cases: a null or empty text has no ids, and decodes to the empty text. Words of more than
 ``LONG`` characters are batches of their own, so that memory stays bounded by the longest word.
