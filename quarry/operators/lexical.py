@@ -18,13 +18,18 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def term_counts(docs: DataFrame, tokenizer: Callable[[Column], Column] = X.unicode_tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf), dealt by document: every use within one plan reads the same exchange, so texts are parted into terms once."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenizer(F.col(text_col))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).repartition("doc_id")
+    """(doc_id, term, tf), dealt by document, so that uses within one plan can read the same exchange.
+
+    What joins would ask of the keys is asked here, as plans with other filters would share nothing;
+    documents without an id are in no index.
+    """
+    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenizer(F.col(text_col))).alias("term"))
+    return terms.where("doc_id is not null and term is not null").groupBy("doc_id", "term").agg(F.count("*").alias("tf")).repartition("doc_id")
 
 
 def _df() -> Column:
-    """Documents of a term; it reads tf and doc_id, as an exchange is only shared by plans that take the same columns."""
-    return F.count_if((F.col("tf") > 0) & F.col("doc_id").isNotNull()).alias("df")
+    """Documents of a term; it reads tf, as an exchange is only shared by plans that take the same columns."""
+    return F.count_if(F.col("tf") > 0).alias("df")
 
 
 def postings(docs: DataFrame, min_df: int = 2, tokenizer: Callable[[Column], Column] = X.unicode_tokens, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
