@@ -59,3 +59,11 @@ def route(model: str) -> str:
         if re.search(pattern, model.lower()):
             return service
     raise KeyError(f"no service answers for {model}")
+
+
+def routed(model: Column) -> Column:
+    """The service of each row's model; null where none answers."""
+    name, out = F.lower(model), F.lit(None).cast("string")
+    for pattern, service in reversed(ROUTES):
+        out = F.when(name.rlike(pattern), service).otherwise(out)
+    return out

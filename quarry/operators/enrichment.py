@@ -160,6 +160,17 @@ def gate(scores: DataFrame, pilot: DataFrame | None) -> DataFrame:
     return own.crossJoin(base).select("mean", "std", "n", z.alias("z"), ((z <= Z_LIMIT) & (F.col("mean") >= LEAST_MEAN)).alias("passed"))
 
 
+def gates(scores: DataFrame, pilot: DataFrame | None, by: str) -> DataFrame:
+    """What ``gate`` says, for each group; a group without a pilot goes by its mean alone."""
+    own = scores.groupBy(by).agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.count("score").alias("n"))
+    if pilot is None:
+        return own.select("*", F.lit(None).cast("double").alias("z"), (F.col("mean") >= FALLBACK_MEAN).alias("passed"))
+    base = pilot.groupBy(by).agg(F.avg("score").alias("pilot_mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("pilot_std"))
+    z = (F.col("pilot_mean") - F.col("mean")) / F.greatest(F.col("pilot_std"), F.lit(LEAST_SIGMA))
+    passed = F.when(z.isNull(), F.col("mean") >= FALLBACK_MEAN).otherwise((z <= Z_LIMIT) & (F.col("mean") >= LEAST_MEAN))
+    return own.join(base, by, "left").select(by, "mean", "std", "n", z.alias("z"), passed.alias("passed"))
+
+
 def defects(rows: DataFrame, source: str = "text", translated: str = "translation") -> DataFrame:
     """Signals of a bad translation: ratios of length and scripts, and how far numbers agree."""
     en, he = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(translated), F.lit(""))

@@ -17,11 +17,16 @@ def verdict(name: str, rows: DataFrame, violations: Column, detail: Column | Non
     return made.select(F.lit(name).alias("check"), F.coalesce("__ok", F.col("violations") == 0).alias("ok"), F.coalesce("violations", F.lit(0)).alias("violations"), "detail")
 
 
+def stands_at(text: Column, part: Column, place: Column) -> Column:
+    """Whether a part stands in a text at a place, from 1."""
+    return F.substring(text, place, F.length(part)) == part
+
+
 def gold_intact(welded: DataFrame, seeds: DataFrame) -> DataFrame:
     """The passage stands whole at its recorded place; documents without a known passage count too."""
     rows = welded.join(seeds.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("__gold")), "doc_id", "left")
-    part = F.substring("text", F.col("gold_char_start") + 1, F.col("gold_char_end") - F.col("gold_char_start"))
-    return verdict("gold_intact", rows, F.count_if(~F.equal_null(part, F.col("__gold"))))
+    whole = stands_at(F.col("text"), F.col("__gold"), F.col("gold_char_start") + 1) & (F.col("gold_char_end") - F.col("gold_char_start") == F.length("__gold"))
+    return verdict("gold_intact", rows, F.count_if(~F.coalesce(whole, F.lit(False))))
 
 
 def gold_once(welded: DataFrame, seeds: DataFrame, least: int = CONTAINMENT) -> DataFrame:

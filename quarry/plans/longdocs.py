@@ -196,7 +196,20 @@ def r10(spark, sf):
     return out.select("query_id", "rung_chars", "gold_char_start", "gold_char_end", F.size("hard_negs").alias("n_negs"), F.length("positive").alias("n_chars"))
 
 
-@query("w11_sentence_segments")
+def packed_sql(parts: str, most: int, joiner: str) -> str:
+    """WITH up to packed(doc_id, nth, text, n): parts of an SQL list of texts joined greedily up to ``most`` tokens."""
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform({parts}, lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+p AS (SELECT doc_id, unnest(s) AS part, unnest(range(len(s))) AS i FROM l), z AS (SELECT *, {WORDS.format("part")} AS n FROM p),
+w AS (SELECT doc_id, i, 0 AS nth, n AS size FROM z WHERE i = 0 UNION ALL
+  SELECT z.doc_id, z.i, CASE WHEN w.size + z.n <= {most} THEN w.nth ELSE w.nth + 1 END, CASE WHEN w.size + z.n <= {most} THEN w.size + z.n ELSE z.n END FROM w JOIN z ON z.doc_id = w.doc_id AND z.i = w.i + 1),
+packed AS (SELECT doc_id, CAST(nth AS BIGINT) AS nth, string_agg(part, {joiner} ORDER BY i) AS text, CAST(sum(n) AS BIGINT) AS n FROM w JOIN z USING (doc_id, i) GROUP BY doc_id, nth)
+"""
+
+
+SENTENCES_SQL = "regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query("w11_sentence_segments", packed_sql(SENTENCES_SQL, 64, "' '") + "SELECT doc_id, nth AS segment_id, md5(text) AS segment_md5, n AS n_tokens FROM packed")
 def w11(spark, sf):
     out = E.segments(texts(spark, sf), 64)
     return out.select("doc_id", "segment_id", F.md5("segment_text").alias("segment_md5"), X.word_count(F.col("segment_text")).alias("n_tokens"))
@@ -209,7 +222,7 @@ def r27(spark, sf):
     return out.groupBy("doc_id").agg(F.sum(X.word_count(F.col("segment_text"))).alias("n_tokens"))
 
 
-@query("w12_paragraph_windows")
+@query("w12_paragraph_windows", packed_sql("string_split(text, chr(10))", 128, "chr(10)") + "SELECT doc_id, nth AS window_idx, md5('passage: ' || text) AS window_md5 FROM packed")
 def w12(spark, sf):
     out = L.paragraph_windows(texts(spark, sf), 130, prefix="passage: ")
     return out.select("doc_id", "window_idx", F.md5("window_text").alias("window_md5"))
@@ -300,7 +313,7 @@ def r28(spark, sf):
     return E.grouped_contexts(rows)
 
 
-@query("r31_repaired")
+@query("r31_repaired", "SELECT doc_id, doc_id % 3 = 0 OR trim(text) = '' AS was_failed, trim(text) = '' AS still_failed FROM documents")
 def r31(spark, sf):
     """Blank or short stand-in translations made again, all of them whole afterwards."""
     rows = texts(spark, sf).withColumn("translation", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.upper("text")))
@@ -361,7 +374,7 @@ def p17(spark, sf):
     return rows.select("page_id", "p.title", F.md5("p.text").alias("text_md5"), F.size("p.sections").alias("n_sections"))
 
 
-@query("p16_articles")
+@query("p16_articles", "SELECT doc_id, lang AS title, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INT) AS n_abstract, source AS positive FROM documents")
 def p16(spark, sf):
     marked = F.concat(F.lit(parsers.ARTICLE + "\n"), "lang", F.lit("\n" + parsers.PARAGRAPH + "\n"), F.replace("text", F.lit("\n"), F.lit(parsers.NEWLINE)), F.lit("\n" + parsers.SECTION + "\nx\n" + parsers.PARAGRAPH + "\n"), "source")
     rows = C.docs(spark, sf).select("doc_id", parsers.article(marked).alias("a"))

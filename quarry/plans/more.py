@@ -66,15 +66,18 @@ def p08(spark, sf):
     return texts(spark, sf).select("doc_id", F.md5(L.head(F.col("text"), F.lit(500))).alias("head_md5"))
 
 
-@query("p11_part_at_offset", "SELECT doc_id, substr(text, 11, 20) = substr(text, 11, 20) AS same, md5(substr(text, 11, 20)) AS part_md5 FROM documents")
+@query("p11_part_at_offset", "WITH c AS (SELECT doc_id, text, substr(text, 11, 20) AS part, 11 + doc_id % 2 AS claimed FROM documents) SELECT doc_id, starts_with(substr(text, claimed), part) AS same FROM c")
 def p11(spark, sf):
-    part = F.substring("text", 11, 20)
-    return texts(spark, sf).select("doc_id", F.equal_null(part, F.substr("text", F.lit(11), F.lit(20))).alias("same"), F.md5(part).alias("part_md5"))
+    """Whether a part stands where it is said to; of odd documents the place is one too far."""
+    claimed = (F.lit(11) + F.col("doc_id") % 2).cast("int")
+    return texts(spark, sf).select("doc_id", V.stands_at(F.col("text"), F.substring("text", 11, 20), claimed).alias("same"))
 
 
-@query("p15_unescaped", "SELECT doc_id, 'x' || chr(10) || 'A' || lang AS t FROM documents")
+@query("p15_unescaped", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def p15(spark, sf):
-    return C.docs(spark, sf).select("doc_id", P.unescape(F.concat(F.lit("x\\n\\u0041"), "lang")).alias("t"))
+    """Escaped texts come back whole."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("e"), F.lit("\\u0065"))
+    return texts(spark, sf).select("doc_id", F.md5(P.unescape(escaped)).alias("text_md5"))
 
 
 @query("p18_citations", "SELECT doc_id, md5(regexp_replace(replace(text, ' the ', ' [1][23] '), '(?:\\[\\d+\\])+', '', 'g')) AS t_md5 FROM documents")
@@ -88,9 +91,11 @@ def p20(spark, sf):
     return C.table(spark, sf, "pages").select("page_id", part("^(\\w+)://([^/?#]+)", 1).alias("scheme"), part("^(\\w+)://([^/?#]+)", 2).alias("host"), part("/(\\d+)", 1).alias("number"))
 
 
-@query("t09_article_pairs", "SELECT doc_id, lang || ' x' AS anchor, source AS positive FROM documents")
+@query("t09_article_pairs", "SELECT doc_id, lang || ' ' || source AS anchor, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS positive FROM documents")
 def t09(spark, sf):
-    marked = F.concat(F.lit(P.ARTICLE), F.lit("\n"), "lang", F.lit(f"\n{P.SECTION}\nx\n{P.PARAGRAPH}\n"), "source")
+    """Texts as the one section of a marked article, their lines as its paragraphs."""
+    body = F.replace("text", F.lit("\n"), F.lit(P.NEWLINE))
+    marked = F.concat(F.lit(P.ARTICLE), F.lit("\n"), "lang", F.lit(f"\n{P.SECTION}\n"), "source", F.lit(f"\n{P.PARAGRAPH}\n"), body)
     return C.docs(spark, sf).select("doc_id", P.article_pair(P.article(marked)).alias("p")).select("doc_id", "p.anchor", "p.positive")
 
 

@@ -42,3 +42,4 @@ from quarry.plans import analyses, extensions  # noqa: E402, F401
 from quarry.plans import longdocs  # noqa: E402, F401
 from quarry.plans import more  # noqa: E402, F401
 from quarry.plans import stores  # noqa: E402, F401
+from quarry.plans import rest  # noqa: E402, F401

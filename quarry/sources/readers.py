@@ -270,6 +270,38 @@ def prefixed(rows: DataFrame, query: str = "query: ", passage: str = "passage: "
 REGISTRY: dict[str, Callable[..., DataFrame]] = {"jsonl": json_lines, "json_tree": json_tree, "csv": csv, "qa": qa_pairs, "parquet": lambda spark, paths: spark.read.parquet(*paths)}
 
 
+#: Builders in the order they were registered: what recognises a configuration, and what reads it.
+BUILDERS: list[tuple[Callable[[dict], bool], Callable[[SparkSession, dict], DataFrame]]] = []
+
+
+def builder(is_match: Callable[[dict], bool]) -> Callable:
+    """Register a reader for the configurations that it recognises."""
+
+    def add(function: Callable[[SparkSession, dict], DataFrame]) -> Callable[[SparkSession, dict], DataFrame]:
+        BUILDERS.append((is_match, function))
+        return function
+
+    return add
+
+
+@builder(lambda config: "sources" in config)
+def _sources(spark: SparkSession, config: dict) -> DataFrame:
+    return build(spark, config)
+
+
+@builder(lambda config: str(config.get("folder", "")) != "")
+def _collection(spark: SparkSession, config: dict) -> DataFrame:
+    return corpus(spark, config["folder"])
+
+
+def discovered(spark: SparkSession, config: dict) -> DataFrame:
+    """What the first builder that recognises a configuration reads; an error if none does."""
+    for is_match, function in BUILDERS:
+        if is_match(config):
+            return function(spark, config)
+    raise KeyError(f"no builder recognises {sorted(config)}")
+
+
 def merged(base: dict, more: dict) -> dict:
     """A configuration over its defaults, nested ones merged."""
     return base | {k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in more.items()}

@@ -86,6 +86,11 @@ def dataset_manifest(spark: SparkSession, rows: DataFrame, path: str, **facts) -
     return out
 
 
+def pool(rows: DataFrame, path: str, parts: int = 8) -> None:
+    """Filler in order of pid, within and between files, so that equal rows make equal files."""
+    rows.repartitionByRange(parts, "pid").sortWithinPartitions("pid").write.mode("overwrite").json(path)
+
+
 def titled(rows: DataFrame) -> DataFrame:
     """(doc_id, text) with titles joined in."""
     return rows.select(F.col("_id").alias("doc_id"), join_title_text(F.col("title"), F.col("text")).alias("text"))
