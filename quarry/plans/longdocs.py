@@ -109,8 +109,8 @@ def built(spark, sf, condition="random", chosen="true"):
     golds = j.where("score > 0").select("doc_id").distinct().withColumn("is_gold", F.lit(True))
     seeds = texts(spark, sf).where(chosen).join(golds, "doc_id", "left").withColumn("is_gold", F.coalesce("is_gold", F.lit(False)))
     filler = pool(spark, sf)
-    own = L.without_own(L.drawn(seeds, filler, condition), seeds, filler, 2 * max(L.RUNGS))
-    return L.welded(seeds, own, filler, condition), seeds, j
+    tapes = L.tapes(L.chosen(seeds, filler, max(L.RUNGS), condition), filler)
+    return L.ladder(seeds, tapes, condition), seeds, j
 
 
 R09_SQL = """WITH """ + C.QRELS_SQL + """, g AS (SELECT DISTINCT doc_id FROM qrels WHERE score > 0), s AS (SELECT d.doc_id, length(text) AS n, md5(text) AS gold_md5, g.doc_id IS NOT NULL AS is_gold FROM documents d LEFT JOIN g USING (doc_id) WHERE {0})

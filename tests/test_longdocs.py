@@ -71,6 +71,20 @@ def test_own_text_is_no_filler_unless_filler_is_short(spark):
     assert {r.pid for r in L.without_own(found, seeds, pool, needed=50).collect()} == {"other"}
 
 
+def test_a_short_draw_chooses_the_same(spark):
+    """Short and long passages, some that hold a document, and a pool too small for some: as by the long draw."""
+    sizes = [40, 3000, 120, 700, 60, 90]
+    made = [(i, f"p{i} first second third {'x' * 70}{i} " + "y" * (sizes[i % 6] + i)) for i in range(300)]
+    made += [(300 + i, f"in {made[i][1]} out") for i in range(0, 60, 3)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    seeds, pool = d.where("doc_id % 4 = 0"), d.select(F.col("doc_id").alias("pid"), "text")
+    for least, k in ((500, 50), (4000, 50), (4000, 12), (90_000, 50)):
+        want = L.dealt(L.without_own(L.drawn(seeds, pool, "random", k), seeds, pool, 2 * least), least)
+        got = L.chosen(seeds, pool, least, "random", k)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert got.count() > 0
+
+
 def test_neighbours_come_first_and_the_ring_tops_up(spark):
     pool = spark.createDataFrame([(f"p{i}", f"common word{i % 5} and more of text number {i}") for i in range(50)], "pid string, text string")
     seeds = spark.createDataFrame([("d", "word3 word3")], "doc_id string, text string")
