@@ -207,8 +207,23 @@ def _found(links: DataFrame) -> DataFrame:
     return cut(found, 2 * links.count())
 
 
-def _later_pairs(long: DataFrame, found: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """(a, b) in different components that a later round compares, of which none was tested before."""
+def _reopened(members: DataFrame, heads: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and heads(key, first, next) of the lists that have pairs to compare which no round has: those whose next joined the first one's component.
+
+    A list's first one, and neighbours by size, are the same in every round, and its next one is as long as it
+    stays outside, since components only grow. So the other lists' pairs have all been tested.
+    """
+    side = lambda c: found.select(F.col("doc").alias(c), F.col("component").alias(f"{c}_component"))
+    met = heads.join(side("first"), "first", "left").join(side("next"), "next", "left")
+    same = cut(met.where(F.coalesce("first_component", "first") == F.coalesce("next_component", "next")).select("key"), heads.count())
+    return members.join(same, "key", "left_semi"), heads.join(same, "key", "left_anti")
+
+
+def _later_pairs(long: DataFrame, found: DataFrame, tested: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b) in different components that a later round compares, of which none was tested before.
+
+    Besides them the members of the lists that are in more than one component, and (key, first, next) of those lists.
+    """
     rows = long.count()
     placed = cut(long.join(found, "doc", "left").select("key", "doc", "n", "central", F.coalesce("component", "doc").alias("component")), rows)
     member, order = F.struct("doc", "n", "component"), F.struct("central", "doc")
@@ -223,7 +238,8 @@ def _later_pairs(long: DataFrame, found: DataFrame, tested: DataFrame, percent:
     for rated in (outside.withColumn("other", F.col("first")), outside.join(second, "key").withColumn("other", F.col("next")), mixed.withColumn("other", before)):
         pair = rated.where((F.col("component") != F.col("other.component")) & _fits("n", "other.n", percent)).select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
         more = pair if more is None else more.unionByName(pair)
-    return cut(more.distinct().join(tested, ["a", "b"], "left_anti"), rows)
+    heads = led.select("key", F.col("first.doc").alias("first")).join(second.select("key", F.col("next.doc").alias("next")), "key")
+    return cut(more.distinct().join(tested, ["a", "b"], "left_anti"), rows), mixed.select("key", "doc", "n", "central"), cut(heads, rows)
 
 
 def _search(docs: DataFrame, size: int, percent: int, k: int, all_pairs: int, margin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -255,8 +271,13 @@ def _search(docs: DataFrame, size: int, percent: int, k: int, all_pairs: int, ma
     found = _found(links)
     if long.isEmpty():
         return classes, links, found
+    members, closed = long, None
     while True:
-        fresh = _later_pairs(long, found, tested, percent)
+        fresh, left, heads = _later_pairs(members, found, tested, percent)
+        if closed is None:
+            mixed = left
+        else:
+            heads = heads.unionByName(closed)
         new = _verified(_rated(fresh, reps, percent, k, margin), texts, size, percent)
         release(spark)
         tested = tested.unionByName(fresh)
@@ -264,6 +285,7 @@ def _search(docs: DataFrame, size: int, percent: int, k: int, all_pairs: int, ma
             break
         links = links.unionByName(new)
         found = _found(links)
+        members, closed = _reopened(mixed, heads, found)
     held = texts.join(long.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     prefixes = cut(_prefixes(held, size, percent), total, 8_000)
     release(spark)
