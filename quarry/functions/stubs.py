@@ -30,8 +30,11 @@ def encode(text: Column, dims: int = 32) -> Column:
     """A hashed bag of words at length 1: what a text's vector is where no encoder is given."""
     from quarry.functions.vectors import normalise
 
+    once = lambda value, use: F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+    # What stands in a lambda is computed for each element, so the tokens and their counts are bound before.
     hashed = F.transform(X.unicode_tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    return normalise(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(hashed, lambda h: h == d)).cast("double")))
+    counts = once(hashed, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(hs, lambda h: h == d)).cast("double")))
+    return once(counts, normalise)
 
 
 def translate(text: Column) -> Column:
