@@ -6,10 +6,11 @@ words before and after it; and the file's shares of symbols and of tokens with d
 fitted here, on the driver, by stochastic gradient steps on the log-likelihood of generated lines
 (a fixed seed and number), each in a generated file whose shares are its own, and decoded by Viterbi.
 
-A token that is no candidate is fixed to O: candidates have eight bytes or more with a digit, or
-after a cue word or a token that ends with a colon or equals sign, or LONG or more of any kind. Between fixed tokens the most likely tags do not depend on each other, so
-decoding run by run of candidates gives the same tags as decoding the whole text at once, and the
-words around a run still enter its features. Candidates are found for a block of texts at a time.
+Every token is scored, and decoding is exact. All tokens of a block are scored at once, out of a table
+of its distinct ones (``Table``). A token is left to O without decoding only where no stretch of B and I
+that holds it can score above the same stretch of O (``undecided``); between such tokens the most likely
+tags do not depend on each other, so decoding run by run of the others gives the same tags as decoding
+the whole text at once, and the words around a run still enter its features.
 
 Spans are (kind, start, end) in code points, end exclusive: ``assign``, ``access``, ``hex`` of the
 base patterns, leftmost and non-overlapping for each kind, and ``crf`` for tagged spans that touch no
@@ -22,8 +23,10 @@ give equal results.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +54,14 @@ DIGIT[list(b"0123456789")] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>{}[]();=")] = True
 
-#: Bytes from which a token is a candidate with a digit, and without.
-SHORT, LONG = 8, 24
 #: Hashed features, and generated training lines.
 SLOTS, LINES, ROUNDS = 1 << 13, 1100, 5
 # Words that stand before a secret.
 CUES = ("bearer", "credential", "credentials", "auth", "key", "pwd", "pass", "access", "private", "signature", "login", "password", "passwd", "secret", "token")
 TAGS = "BIO"
+#: Distinct tokens that a task keeps from block to block, and what sums of scores may differ by.
+KNOWN, SLACK = 500_000, 0.01
+ALPHABETS = ("hex", "digits", "base64", "mixed")
 _EDGE = "\"'`,;.:!?()[]{}<>#*$%&"
 
 FIELDS = [
@@ -82,19 +86,34 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", classes)[:12]
 
 
+_WEIGHED = [k * math.log2(max(1, k)) for k in range(65)]
+
+
 def _entropy(token: str) -> int:
-    counts = np.unique(list(token), return_counts=True)[1] / len(token)
-    return int(-2 * (counts * np.log2(counts)).sum())
+    """Entropy of a token's characters in half bits, rounded down."""
+    size = len(token)
+    if size < len(_WEIGHED):
+        spent = sum([_WEIGHED[k] for k in map(token.count, set(token))])
+    else:
+        spent = sum(k * math.log2(k) for k in Counter(token).values())
+    return int(2 * (math.log2(size) - spent / size) + 1e-9)
 
 
 def _word(token: str) -> str:
     return re.sub(r"[^a-z]", "", token.lower())[:12]
 
 
+_HEX, _BASE64 = re.compile("[0-9a-f]+|[0-9A-F]+"), re.compile("[A-Za-z0-9+/=_-]+")
+
+
+def alphabet_of(core: str) -> str:
+    return "hex" if _HEX.fullmatch(core) else "digits" if core.isdigit() else "base64" if _BASE64.fullmatch(core) else "mixed"
+
+
 def features(token: str, before: list[str], after: list[str], file: str) -> np.ndarray:
     """Hashed features of a token between its neighbours."""
     core = token.strip(_EDGE)
-    alphabet = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", core) else "digits" if core.isdigit() else "base64" if re.fullmatch(r"[A-Za-z0-9+/=_-]+", core) else "mixed"
+    alphabet = alphabet_of(core)
     runs = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:]))
     found = [
         "bias",
@@ -138,6 +157,17 @@ def _files(seed: int = 11) -> list[tuple[list[str], list[int], str]]:
     mixed = lambda n: chars(lower + upper + digits, n - 2) + pick(digits) + pick(upper)
     number = lambda a, b: str(rng.integers(a, b))
     long_word = lambda: chars(lower, int(rng.integers(8, 16)))
+    ends = ["", "", "", "", ",", ".", "!!", "?"]
+
+    def prose(n: int) -> list[str]:
+        """Words as sentences have them, or all in capitals."""
+        loud = rng.random() < 0.15
+        out = []
+        for _ in range(n):
+            w = "is" if rng.random() < 0.12 else chars(lower, int(rng.integers(1, 14)))
+            out.append((w.upper() if loud or rng.random() < 0.05 else w.capitalize() if not out or out[-1][-1] in ".!?" or rng.random() < 0.1 else w) + pick(ends))
+        return out
+
     # How well-known keys begin.
     secrets = [
         lambda: "ghp_" + mixed(36),
@@ -176,7 +206,7 @@ def _files(seed: int = 11) -> list[tuple[list[str], list[int], str]]:
     around = [[make() for _ in range(200)] for make in around]
     out = []
     for i in range(LINES):
-        tokens = [word() for _ in range(rng.integers(2, 7))]
+        tokens = prose(int(rng.integers(2, 7)))
         tags = [2] * len(tokens)
         if i % 9 == 0:  # a key that goes on over lines
             tokens += ["PRIVATE", "KEY-----", *(mixed(64) for _ in range(3))]
@@ -199,7 +229,7 @@ def _files(seed: int = 11) -> list[tuple[list[str], list[int], str]]:
         for _ in range(rng.integers(0, 4)):
             tokens.append(pick(benign)())
             tags.append(2)
-        tokens += [word() for _ in range(rng.integers(0, 4))]
+        tokens += prose(int(rng.integers(0, 4)))
         tags += [2] * (len(tokens) - len(tags))
         style = around[int(rng.choice(3, p=[0.3, 0.4, 0.3] if 0 in tags else [0.6, 0.2, 0.2]))]
         rest = [*pick([around[0], style])[: rng.integers(10, 60)], *style[: rng.integers(0, 60)]]
@@ -247,7 +277,7 @@ class Field:
         return self
 
     def decode(self, found: list[np.ndarray], from_o: bool) -> list[int]:
-        """The most likely tags of a run of candidates after a token fixed to O, or at a text's start."""
+        """The most likely tags of a run of tokens after a token that is O, or at a text's start."""
         s = self.scores(found)
         best = (self.move[2] if from_o else self.start) + s[0]
         back = []
@@ -270,29 +300,105 @@ def fit() -> Field:
     return Field().fit(lines)
 
 
-def is_candidate(size: np.ndarray, digits: np.ndarray, cued: np.ndarray) -> np.ndarray:
-    return ((size >= SHORT) & ((digits > 0) | cued)) | (size >= LONG)
-
-
-def _cue_hashes() -> np.ndarray:
-    data = np.frombuffer("".join(CUES).encode(), np.uint8)
-    at = np.cumsum([0, *map(len, CUES)])
-    return W.Ranges(data)(at[:-1], at[1:])
-
-
-def after_cues(data: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether each token follows one of its own row that is a cue word or ends with a colon or equals sign."""
-    if not len(start):
-        return np.zeros(0, bool)
-    ends = (data[end - 1] == ord(":")) | (data[end - 1] == ord("="))
-    cue = ends.copy()
-    short = np.flatnonzero(~ends & (end - start <= max(map(len, CUES))))
-    cue[short] = np.isin(W.Ranges(W.LOWER[data])(start[short], end[short]), hashes)
-    after = np.zeros(len(start), bool)
-    after[1:] = cue[:-1]
-    firsts = np.searchsorted(start, offsets[:-1])
-    after[firsts[firsts < len(start)]] = False
-    return after
+class Table:
+    """Scores of a field's features for distinct tokens, so that all tokens of a block are scored by look-up.
+
+    Beside what a token says of itself, it has slots for what it says of those after and before it.
+    """
+
+    def __init__(self, field: Field):
+        self.emit = field.emit
+        slot = lambda feature: zlib.crc32(feature.encode()) % SLOTS
+        self.heads = [zlib.crc32(f.encode()) for f in ("before0=", "before1=", "before2=", "after0=", "after1=", "named=")]
+        flags = (False, True)
+        self.assigned = self.emit[[slot(f"assigned={a}") for a in flags]]
+        self.unnamed = np.array([slot(f"named={a}") for a in flags])
+        self.cued = np.array([[[self.emit[[slot(f"cued={c}{a}"), slot(f"cued={c}{a}{x}")]].sum(axis=0) for x in ALPHABETS] for a in flags] for c in flags])
+        # Every token's parts are features without neighbours; those of a file are added for each text.
+        self.sums: dict[tuple, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.own, self.slots, self.flags = np.empty((0, 3), np.float32), np.empty((0, 7), np.int16), np.empty((0, 4), np.int8)
+        self.sums.clear()
+
+    def _own(self, token: str, core: str, alphabet: str) -> np.ndarray:
+        """Sum of the features of a token by itself; those that many tokens share are summed once."""
+        if core.isalpha() and core.islower():
+            form, runs, has = "a", 0, "FalseFalseFalseFalseFalse"
+        else:
+            form, runs = shape(core), sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:]))
+            has = f"{'@' in core}{'.' in core}{'/' in core}{'-' in core}{':' in core}"
+        size, n = len(core), _entropy(core) if core else 0
+        key = form, min(size // 4, 16), min(size // 8, 6), n, alphabet, min(runs // 2, 6), has, token[len(token.rstrip(_EDGE)) :][:2]
+        if key not in self.sums:
+            found = ["bias", f"shape={form}", f"length={key[1]}", f"entropy={n}", f"alphabet={alphabet}", f"alphabet+length={alphabet}{key[2]}", f"switches={key[5]}+{alphabet}", f"has={has}", f"marks={key[7]}"]
+            self.sums[key] = self.emit[[zlib.crc32(f.encode()) % SLOTS for f in found]].sum(axis=0)
+        return self.sums[key] + self.emit[zlib.crc32(f"head={core[:4].lower()}".encode()) % SLOTS]
+
+    def at(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Rows of tokens, with new ones put in."""
+        if len(self.rows) > KNOWN:
+            self.clear()
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        known, found = self.rows, distinct.tolist()
+        new = [i for i, h in enumerate(found) if h not in known]
+        own, slots, flags, heads, crc32 = [], [], [], [*self.heads, self.heads[5]], zlib.crc32
+        for i, a, b in zip(new, start[first[new]].tolist(), end[first[new]].tolist()):
+            known[found[i]] = len(known)
+            token = data[a:b].tobytes().decode("utf-8", "replace")
+            core, word = token.strip(_EDGE), _word(token)
+            alphabet = alphabet_of(core)
+            raw = word.encode()
+            own.append(self._own(token, core, alphabet))
+            slots.append([crc32(x, h) % SLOTS for x, h in zip((raw, raw, raw, raw, raw, raw + b"False", raw + b"True"), heads)])
+            flags.append((ALPHABETS.index(alphabet), bool(word), word in CUES, token[-1] in ":="))
+        if new:
+            self.own, self.slots, self.flags = (np.concatenate([x, np.array(y, x.dtype)]) for x, y in ((self.own, own), (self.slots, slots), (self.flags, flags)))
+        return np.array([known[h] for h in found])[where]
+
+    def scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, files: list[str]) -> np.ndarray:
+        """The scores of tokens; those of a text are first to first of the next."""
+        n, texts = len(start), np.diff(first)
+        rows = self.at(W.Ranges(data)(start, end), data, start, end)
+        place = np.arange(n) - np.repeat(first[:-1], texts)
+        left = np.repeat(texts, texts) - place
+        s = self.own[rows].astype(np.float64) + np.repeat(self.emit[[zlib.crc32(f"file={f}".encode()) % SLOTS for f in files]], texts, axis=0)
+        slots, flags = self.slots[rows], self.flags[rows].astype(np.int64)
+        for k in range(3):
+            at = np.flatnonzero(place > k)
+            s[at] += self.emit[slots[at - k - 1, k]]
+        for k in range(2):
+            at = np.flatnonzero(left > k + 1)
+            s[at] += self.emit[slots[at + k + 1, 3 + k]]
+        at = np.flatnonzero(place > 0)
+        assigned = flags[at - 1, 3]
+        second = (flags[at - 1, 1] == 0) & (place[at] > 1)
+        by = at - 1 - second  # the token whose word names this one; where it has none either, no word does
+        named = np.where(flags[by, 1] > 0, slots[by, 5 + assigned], self.unnamed[assigned])
+        s[at] += self.assigned[assigned] + self.emit[named] + self.cued[flags[by, 2], assigned, flags[at, 0]]
+        return s
+
+
+def undecided(field: Field, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Tokens that may be other than O in the most likely tags; those of a text are first to first of the next.
+
+    A stretch of B and I that becomes O gains each token's own difference, and loses what entering, going
+    on and leaving are better than staying in O at most. Where every stretch through a token gains,
+    it is O. The best stretch through a token comes from running sums up to it and from it on.
+    """
+    move, start = field.move - field.move[2, 2], field.start - field.start[2]
+    enter, inner, leave = max(start[:2].max(), move[2, :2].max()), move[:2, :2].max(), move[:2, 2].max()
+    gain = scores[:, 2] - scores[:, :2].max(axis=1) - inner
+    # No stretch goes from one text into the next.
+    wall = np.zeros(len(gain) + 1)
+    np.add.at(wall, first, 1.0)
+    wall = np.cumsum(np.minimum(wall, 1.0))[:-1] * (2 * np.abs(gain).max(initial=0.0) * max(1, int(np.diff(first).max(initial=0))) + abs(enter) + abs(leave) + abs(inner) + 1)
+    sums = np.cumsum(gain)
+    before = np.maximum.accumulate(sums - gain + wall)
+    after = np.minimum.accumulate((sums + wall)[::-1])[::-1]
+    return after - before < enter + leave - inner + SLACK
 
 
 def scan_secrets(docs: DataFrame, field: Field | None = None, names: dict[str, str] | None = None) -> DataFrame:
@@ -304,10 +410,10 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, names: dict[str, s
     def make():
         model = Field()
         model.emit[packed[0]], model.move, model.start = packed[1], packed[2], packed[3]
-        hashes = _cue_hashes()
+        known = Table(model)
 
         def tagged(raw: bytes, start: np.ndarray, end: np.ndarray, open_: np.ndarray, file: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-            """Spans of the runs of candidates among a text's tokens."""
+            """Spans of the runs of undecided tokens of a text."""
             points = np.concatenate([[0], np.cumsum(W.HEAD[np.frombuffer(raw, np.uint8)])])
             token = lambda i: raw[start[i] : end[i]].decode("utf-8", "replace")
             out, at = [], np.flatnonzero(open_)
@@ -340,9 +446,11 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, names: dict[str, s
                 start, end, first = W.words(data, offsets)
                 digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
                 has = digits[end] - digits[start]
-                open_ = is_candidate(end - start, has, after_cues(data, start, end, offsets, hashes))
-                opened = np.concatenate([[0], np.cumsum(open_)])
                 symbols, size = W.totals(SYMBOL[data], offsets), np.diff(offsets)
+                counted = np.concatenate([[0], np.cumsum(has > 0)])
+                files = [file_features(*x) for x in zip(symbols.tolist(), size.tolist(), (counted[first[1:]] - counted[first[:-1]]).tolist(), np.diff(first).tolist())]
+                open_ = undecided(model, known.scores(data, start, end, first, files), first) if len(start) else np.zeros(0, bool)
+                opened = np.concatenate([[0], np.cumsum(open_)])
                 a, b = W.runs(HEX_BYTE[data], offsets)
                 long = a[b - a >= LEAST["hex"]]
                 hexed = np.searchsorted(long, offsets)
@@ -358,8 +466,7 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, names: dict[str, s
                     hexes = hexed[i + 1] > hexed[i]
                     spans = base_spans(raw.decode("utf-8", "replace"), hinted, hexes) if hinted or hexes or b"AKIA" in raw else []
                     if opened[hi] > opened[lo]:
-                        file = file_features(int(symbols[i]), int(n), int(np.count_nonzero(has[lo:hi])), int(hi - lo))
-                        spans = spans + tagged(raw, start[lo:hi] - offsets[i], end[lo:hi] - offsets[i], open_[lo:hi], file, spans)
+                        spans = spans + tagged(raw, start[lo:hi] - offsets[i], end[lo:hi] - offsets[i], open_[lo:hi], files[i], spans)
                     rows.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))])
             return [rows]
 
